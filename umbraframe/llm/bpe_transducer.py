@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import table, whole_text
+from umbraframe.llm.common import ready, table, whole_text
 from umbraframe.llm.pretok import ALPHABET, BYTE_LEVEL, BYTE_LEVEL_SAFE, Memo, byte_level_pieces, chunks, safe, whole_piece
 
 SHARE = 1e-5
@@ -285,7 +285,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = SHARE
         kept = [(w, n) for w, n in counter.items() if n >= 2 and n + lost >= share * total]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], ["word", "n"])
 
-    counted = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).transform(ready).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
@@ -322,7 +322,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).transform(ready).mapInArrow(run, schema)
 
 
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
@@ -335,7 +335,7 @@ def decode_documents(coded: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     kind = coded.select("doc_id").schema[0].dataType.simpleString()
-    return coded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, text string")
+    return coded.select("doc_id", "ids").transform(ready).mapInArrow(run, f"doc_id {kind}, text string")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,24 @@ def kind_spans(found: Column, kind: str, order: int) -> Column:
 def joined_spans(spans: Column) -> Column:
     """``kind:start:end`` by start, then order of kinds, joined by commas."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """``df``, once the Python workers can import this package: it is sent along as a zip file, once a context."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="umbraframe-")
+        path = os.path.join(folder, "umbraframe-package.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for top, _, names in os.walk(root):
+                for name in names:
+                    if name.endswith(".py"):
+                        full = os.path.join(top, name)
+                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
+        context.addPyFile(path)
+        _SHIPPED.add(context.applicationId)
+    return df

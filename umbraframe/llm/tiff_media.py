@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import table, whole_text
+from umbraframe.llm.common import ready, table, whole_text
 from umbraframe.llm.pretok import chunks
 
 # Fixed values of the TIFF 6.0 format.
@@ -325,7 +325,7 @@ def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
     names = ["doc_id", "page", "width", "height", "compression", "predictor", "tiled", "samples", "error"]
     slim = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
-    return slim.mapInArrow(run, "doc_id long, page int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string")
+    return slim.transform(ready).mapInArrow(run, "doc_id long, page int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string")
 
 
 def feature_of(pages: list[tuple[dict[int, tuple], np.ndarray]]) -> str:
@@ -360,7 +360,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_media]
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).transform(ready).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe_transducer import tokenizer_path
-from umbraframe.llm.common import shared_dir, table, whole_text, written
+from umbraframe.llm.common import ready, shared_dir, table, whole_text, written
 from umbraframe.llm.pretok import library_tokenizer
 
 LIMIT = 512
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, cache_dir: str, path: str, kind: str = "byte",
             counts = tokenizer.counts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
-    counted = missing.select("content", "text").mapInArrow(run, "content binary, n_tokens long")
+    counted = missing.select("content", "text").transform(ready).mapInArrow(run, "content binary, n_tokens long")
     counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return spread_join(slim, known).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

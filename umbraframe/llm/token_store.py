@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe_transducer import tokenizer_path
-from umbraframe.llm.common import shared_dir, table, whole_text
+from umbraframe.llm.common import ready, shared_dir, table, whole_text
 from umbraframe.llm.pretok import library_tokenizer
 
 MAGIC = b"UZT1"
@@ -136,13 +136,13 @@ def write_store(docs: DataFrame, out_dir: str, path: str, kind: str = "word", en
             yield flush()
 
     names, kinds = ("shard", "number", "start_in_shard", "n_tokens", "n_docs", "block"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    coded = slim.mapInArrow(compress, "doc_id long, n_tokens long, frame binary")
+    coded = slim.transform(ready).mapInArrow(compress, "doc_id long, n_tokens long, frame binary")
     # Sampling the ranges would run the encoder twice: it is written first, a fraction of the text's size.
     stage = f"{out_dir}/frames"
     coded.write.parquet(stage)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = spark.read.parquet(stage).repartitionByRange(n, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "n_tokens", "frame")
-    dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "frame").mapInArrow(blocks, "shard int, number int, start_in_shard long, n_tokens long, n_docs long, block binary").write.parquet(f"{out_dir}/blocks")
+    dealt.select(F.spark_partition_id().alias("shard"), "doc_id", "n_tokens", "frame").transform(ready).mapInArrow(blocks, "shard int, number int, start_in_shard long, n_tokens long, n_docs long, block binary").write.parquet(f"{out_dir}/blocks")
     spark.createDataFrame([(bytearray(dictionary),)], "dictionary binary").write.parquet(f"{out_dir}/dictionary")
     return dictionary
 
@@ -167,7 +167,7 @@ def read_store(spark: SparkSession, out_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([docs, pa.array(starts), pa.array(tokens), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = stored.join(F.broadcast(shards), "shard").select((F.col("before") + F.col("start_in_shard")).alias("start"), "block")
-    return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.transform(ready).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def export_files(spark: SparkSession, out_dir: str, folder: str) -> int:
