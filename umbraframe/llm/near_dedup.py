@@ -7,11 +7,10 @@
    document's own text counts little, while a large group of near copies does not discount the text it shares.
 3. Improved consistent weighted sampling takes ``BANDS * ROWS`` samples (shingle, quantised weight); the samples of
    each band are hashed to a key. Documents of one key are candidates.
-4. In keys of up to ``SMALL`` documents all pairs are compared; in larger ones each document with the smallest id and
-   with its neighbour in a salted order. Pairs of at least ``SIMILARITY`` weighted Jaccard, over whole texts,
-   are links; their connected components are the classes. While a larger key still holds several classes, its documents
-   are compared with the first documents of its other classes, ``LEADERS`` at a time, so no link is lost in a large key and
-   no group is expanded into all its pairs.
+4. In keys of up to ``SMALL`` documents all pairs are compared. A larger key is ordered by the keys of its documents'
+   following bands, so that those that agree in most bands lie side by side; each is compared with the one before it and
+   with the smallest id, once in each of its keys: a forest of ``BANDS`` orders, linear in the size of a group.
+   Pairs of at least ``SIMILARITY`` weighted Jaccard, over whole texts, are links; their components are the classes.
 """
 
 from __future__ import annotations
@@ -35,9 +34,8 @@ SLACK = 0.8
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 SEGMENTS = 64
-SMALL = 8
-LEADERS = 8
-SALTS = 64
+SMALL = 12
+SALTS = 16
 
 _U = np.uint64
 _ODD, _MIX, _MIX2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -223,7 +221,8 @@ def digests_and_frequencies(slim: DataFrame) -> tuple[DataFrame, np.ndarray, int
 
 
 def keys_of(texts: DataFrame, idf) -> DataFrame:
-    """(key, rep) of each band of each document (doc_id, text); none for documents without words."""
+    """(key, then, last, rep) of each band of each document (doc_id, text), with the keys of the two bands that follow;
+    none for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table_ = Sampler(), idf.value
@@ -235,20 +234,23 @@ def keys_of(texts: DataFrame, idf) -> DataFrame:
                     docs.append(doc)
                     keys.append(band_keys(sampler(s, w)).view(np.int64))
             if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(docs, BANDS))], ["key", "rep"])
+                k = np.array(keys)
+                cols = [np.roll(k, -i, axis=1).ravel() for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(docs, BANDS))], ["key", "then", "last", "rep"])
 
-    return texts.transform(ready).mapInArrow(run, "key long, rep long")
+    return texts.transform(ready).mapInArrow(run, "key long, then long, last long, rep long")
 
 
 def first_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of small keys, and of large ones those with the smallest id and with a neighbour."""
+    """(a, b), a < b: all pairs of small keys, and of large ones those with the smallest id and with the neighbour in order."""
     held = keys.join(sizes, "key")
     small = held.filter(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("rep")).alias("reps"))
     spread = small.select(F.posexplode("reps").alias("i", "a"), "reps").select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
     large = held.filter(F.col("n") > SMALL)
     star = large.filter("rep > center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
-    line = Window.partitionBy("key", F.pmod(F.xxhash64("rep"), F.lit(SALTS))).orderBy("rep")
-    chain = large.select(F.lag("rep").over(line).alias("a"), F.col("rep").alias("b")).filter("a IS NOT NULL AND a < b")
+    # Salted by the next band's key, which keeps the most similar together, and by a few parts of the ids.
+    line = Window.partitionBy("key", F.pmod(F.xxhash64("then"), F.lit(SALTS)), F.pmod(F.xxhash64("rep"), F.lit(4))).orderBy("then", "last", "rep")
+    chain = large.select(F.lag("rep").over(line).alias("x"), F.col("rep").alias("y")).filter("x IS NOT NULL AND x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return spread.unionByName(star).unionByName(chain).distinct()
 
 
@@ -295,15 +297,6 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(row)
 
 
-def more_pairs(keys: DataFrame, sizes: DataFrame, labels: DataFrame, after: int) -> DataFrame:
-    """Pairs in large keys between documents and the first documents of other classes of the key: the LEADERS after so many."""
-    held = keys.join(sizes.filter(F.col("n") > SMALL), "key").join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    leaders = held.groupBy("key", "label").agg(F.min("rep").alias("leader"))
-    order = Window.partitionBy("key").orderBy("leader")
-    leaders = leaders.withColumn("i", F.row_number().over(order)).filter((F.col("i") > after) & (F.col("i") <= after + LEADERS)).select("key", F.col("label").alias("_label"), "leader")
-    return held.join(leaders, "key").filter("label <> _label").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-
-
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest id of its class), rep_id (of its exact copies), class_size, kept.
 
@@ -317,26 +310,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies")), "near-copies")
     reps = copies.filter("rep_id IS NOT NULL").select(F.col("rep_id").alias("_rep"))
     texts = slim.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi")
-    keys = written(keys_of(texts, shared).distinct(), "near-keys")
-    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center")).filter("n > 1"), "near-sizes")
+    keys = written(keys_of(texts, shared), "near-keys")
+    sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center"), F.max("rep").alias("_high")).filter("center <> _high").drop("_high"), "near-sizes")
     keys = written(keys.join(sizes.select("key"), "key", "left_semi"), "near-held")
-    compared = written(first_pairs(keys, sizes), "near-pairs")
-    links = written(links_of(compared, texts, shared, similarity), "near-links")
+    pairs = written(first_pairs(keys, sizes), "near-pairs")
+    links = written(links_of(pairs, texts, shared, similarity), "near-links")
     labels = components(links)
-    after = 0
-    while True:
-        pairs = written(more_pairs(keys, sizes, labels, after).join(compared, ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.head(1):
-            compared = compared.unionByName(pairs)
-            found = written(links_of(pairs, texts, shared, similarity), "near-links")
-            if found.head(1):
-                links = links.unionByName(found)
-                labels, after = components(links), 0
-                continue
-        after += LEADERS
-        left = more_pairs(keys, sizes, labels, after)
-        if not left.head(1):
-            break
     classes = copies.join(labels, F.col("rep_id") == F.col("id"), "left").select("digest", "rep_id", "n_copies", F.coalesce("label", "rep_id").alias("class_id"))
     classes = written(classes, "near-classes")
     total = classes.groupBy("class_id").agg(F.sum("n_copies").alias("class_size"))
