@@ -114,17 +114,18 @@ def merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(numbered), none(), join)
 
 
-def numbered(spans: Column) -> Column:
-    """array<struct<start,end,label,token>>: placeholders numbered by key in reading order."""
-    return F.transform(
-        spans,
-        lambda s, i: F.struct(
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["label"].alias("label"),
-            F.concat(F.lit("["), key_of(s["label"]), F.lit("_"), F.size(F.filter(F.slice(spans, F.lit(1), i + 1), lambda o: key_of(o["label"]) == key_of(s["label"]))).cast("string"), F.lit("]")).alias("token"),
-        ),
-    )
+def numbered(spans: Column, keys: Column) -> Column:
+    """array<struct<start,end,label,token>>: placeholders numbered by key in reading order. keys: :func:`key_of` each label.
+
+    Both should be columns, not expressions, as each span looks back over the keys.
+    """
+
+    def one(s, i):
+        key = F.element_at(keys, i + 1)
+        n = F.size(F.filter(F.slice(keys, F.lit(1), i + 1), lambda k: k == key))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.concat(F.lit("["), key, F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
+
+    return F.transform(spans, one)
 
 
 def spliced(text: Column, tokens: Column) -> Column:

@@ -12,18 +12,24 @@ from umbraframe.operators.detect import Detector, RuleDetector
 SEND, FAILED, TIMED_OUT, SMUGGLED, OVER_BUDGET = "send", "drop_filter_failed", "drop_timed_out", "drop_separator", "drop_budget"
 
 
-def prepared(text: Column, spans: Column, protected: Column | None = None) -> Column:
-    """Valid spans, cut around the framing (or without those equal to a protected string), trimmed, merged and numbered."""
-    spans = S.valid(spans, text)
-    spans = S.around(spans, S.markers(text)) if protected is None else S.not_equal_to(spans, text, protected)
-    return S.numbered(S.merged(S.trimmed(spans, text)))
+def with_tokens(df: DataFrame, text_col: str = "text", spans_col: str = "spans", protected: Column | None = None) -> DataFrame:
+    """Adds ``_tokens``: valid spans, cut around the framing (or without those equal to a protected string), trimmed, merged and numbered.
+
+    In steps, as a lambda would evaluate an expression that it names again for each span.
+    """
+    text = F.col(text_col)
+    df = df.withColumn("_valid", S.valid(F.col(spans_col), text)).withColumn("_bars", S.markers(text))
+    free = S.around(F.col("_valid"), F.col("_bars")) if protected is None else S.not_equal_to(F.col("_valid"), text, protected)
+    df = df.withColumn("_merged", S.merged(S.trimmed(free, text)))
+    df = df.withColumn("_keys", F.transform("_merged", lambda s: S.key_of(s["label"])))
+    return df.withColumn("_tokens", S.numbered(F.col("_merged"), F.col("_keys"))).drop("_valid", "_bars", "_merged", "_keys")
 
 
 def mask_spans(df: DataFrame, text_col: str = "text", spans_col: str = "spans", protected: Column | None = None) -> DataFrame:
     """Adds ``masked`` and ``restore`` (placeholder -> original); both null where text or spans are."""
     text = F.col(text_col)
-    with_tokens = df.withColumn("_tokens", prepared(text, F.col(spans_col), protected))
-    return with_tokens.withColumn("masked", S.spliced(text, F.col("_tokens"))).withColumn("restore", S.restore_map(text, F.col("_tokens"))).drop("_tokens")
+    tokens = with_tokens(df, text_col, spans_col, protected)
+    return tokens.withColumn("masked", S.spliced(text, F.col("_tokens"))).withColumn("restore", S.restore_map(text, F.col("_tokens"))).drop("_tokens")
 
 
 def mask_fields(df: DataFrame, fields_col: str = "fields", detector: Detector | None = None, words_cap: int | None = None) -> DataFrame:
@@ -70,7 +76,7 @@ def restore_replies(replies: DataFrame, masked: DataFrame, key: str, reply_col:
 
 def restore_rows(masked: DataFrame, key: str) -> DataFrame:
     """The private map as rows (key, placeholder, original), for a table of its own."""
-    return masked.select(key, F.explode(F.map_entries("restore")).alias("e")).select(key, F.col("e.key").alias("placeholder"), F.col("e.value").alias("original"))
+    return masked.select(key, F.explode_outer(F.map_entries("restore")).alias("e")).filter("e IS NOT NULL").select(key, F.col("e.key").alias("placeholder"), F.col("e.value").alias("original"))
 
 
 def decision(value: Column, timed_out: Column) -> Column:

@@ -24,11 +24,12 @@ def detected(spark, sf_dir) -> DataFrame:
 
 
 def exploded(df: DataFrame, spans: str = "spans") -> DataFrame:
-    return df.select("doc_id", F.explode(spans).alias("s")).select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.label").alias("label"))
+    # Outer, then without nulls: an inner explode would have its input's size tested first, by expressions evaluated anew.
+    return df.select("doc_id", F.explode_outer(spans).alias("s")).filter("s IS NOT NULL").select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.label").alias("label"))
 
 
 def words_with_offsets(spark, sf_dir):
-    x = docs(spark, sf_dir).select("doc_id", F.posexplode(words.words_with_offsets("text")).alias("pos", "w"))
+    x = docs(spark, sf_dir).select("doc_id", F.posexplode(words.words_with_offsets(F.col("text"))).alias("pos", "w"))
     return x.select("doc_id", "pos", F.col("w.text").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
 
 
@@ -69,11 +70,12 @@ def merge_spans(spark, sf_dir):
 def protect_markers(spark, sf_dir):
     """Spans less the white space runs of line feeds, which stand in for framing."""
     x = overlapping(detected(spark, sf_dir))
-    return exploded(x.select("doc_id", S.around(F.col("spans"), S.markers(F.col("text"), r"[\x20\n]+")).alias("spans")))
+    barred = x.withColumn("_bars", S.markers(F.col("text"), r"[\x20\n]+"))
+    return exploded(barred.select("doc_id", S.around(F.col("spans"), F.col("_bars")).alias("spans")))
 
 
 def number_placeholders(spark, sf_dir):
-    x = detected(spark, sf_dir).select("doc_id", F.explode(masking.prepared(F.col("text"), F.col("spans"))).alias("s"))
+    x = masking.with_tokens(detected(spark, sf_dir)).select("doc_id", F.explode_outer("_tokens").alias("s")).filter("s IS NOT NULL")
     return x.select("doc_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.token").alias("token"))
 
 
@@ -125,7 +127,7 @@ def shared_fields(spark, sf_dir) -> DataFrame:
 
 def mask_fields_shared_map(spark, sf_dir):
     x = masking.mask_fields(shared_fields(spark, sf_dir))
-    return x.select("request", "status", F.size("restore").alias("n_spans"), F.posexplode("masked_fields").alias("i", "masked"))
+    return x.select("request", "status", F.size("restore").alias("n_spans"), F.posexplode_outer("masked_fields").alias("i", "masked"))
 
 
 def separator_smuggle_drop(spark, sf_dir):
@@ -185,7 +187,7 @@ def pin_predecessor(spark, sf_dir):
     """Each order of a customer as a version: the one before it."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return o.select("o_custkey", "o_orderkey", F.lag("o_orderkey").over(w).alias("previous"))
+    return o.select("o_custkey", "o_orderkey", F.coalesce(F.lag("o_orderkey").over(w), F.lit(-1)).alias("previous"))
 
 
 def disk_budget(spark, sf_dir):

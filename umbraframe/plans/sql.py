@@ -75,7 +75,7 @@ SQL = {
       h AS (SELECT doc_id, max(CAST(contains(t, '@mail') AS INTEGER)) + max(CAST(contains(t, '555-') AS INTEGER)) + max(CAST(contains(t, '.1') AS INTEGER)) AS n FROM c GROUP BY doc_id)
       SELECT d.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_found, CAST(3 - coalesce(n, 0) AS INTEGER) AS n_missed, d.text <> '' AND coalesce(n, 0) >= 2 AS passes FROM docs d LEFT JOIN h USING (doc_id)""",
     "safe_component": f"WITH s AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN regexp_replace(p_name, '[^A-Za-z0-9]', '-', 'g') WHEN 1 THEN 'COM1.' || p_brand ELSE p_name END AS name FROM part) SELECT p_partkey, name, regexp_matches(name, '^[A-Za-z0-9._-]+$') AND name NOT IN ('.', '..') AND upper(split_part(name, '.', 1)) NOT IN ({', '.join(repr(x) for x in sorted(RESERVED))}) AS ok FROM s",
-    "pin_predecessor": "SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders",
+    "pin_predecessor": "SELECT o_custkey, o_orderkey, coalesce(lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), -1) AS previous FROM orders",
     "disk_budget": "SELECT doc_id, coalesce(n_chars, 0) * 5 // 2 AS to_install, coalesce(n_chars, 0) * 3 // 2 AS to_unpack FROM documents",
     "file_digests": f"WITH {DOCS} SELECT doc_id, sha256(text) AS sha256 FROM docs",
     "decisions": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'drop_timed_out' WHEN o_orderstatus = 'F' OR o_orderpriority IS NULL THEN 'drop_filter_failed' ELSE 'send' END AS status FROM orders",
