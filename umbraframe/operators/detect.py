@@ -161,7 +161,7 @@ class OnnxDetector:
         found = [(m.group(), m.start(), m.end()) for m in regex.finditer(r"\S+", text)]
         if not found:
             return []
-        emoji = [bool(regex.fullmatch(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\x{200D}\x{FE0F}\p{Regional_Indicator}]+", w)) for w, _, _ in found]
+        emoji = [bool(regex.fullmatch(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\u200D\uFE0F\p{Regional_Indicator}]+", w)) for w, _, _ in found]
         ids = encode([NEUTRAL if e else w for (w, _, _), e in zip(found, emoji, strict=True)])
         label_ids = encode(list(self.labels))
         counts = [len(x) for x in ids]

@@ -29,7 +29,7 @@ def mask_spans(df: DataFrame, text_col: str = "text", spans_col: str = "spans",
     """Adds ``masked`` and ``restore`` (placeholder -> original); both null where text or spans are."""
     text = F.col(text_col)
     tokens = with_tokens(df, text_col, spans_col, protected)
-    return tokens.withColumn("masked", S.spliced(text, F.col("_tokens"))).withColumn("restore", S.restore_map(text, F.col("_tokens"))).drop("_tokens")
+    return tokens.withColumn("masked", S.spliced(text, F.col("_tokens"))).withColumn("restore", F.when(text.isNotNull(), S.restore_map(text, F.col("_tokens")))).drop("_tokens")
 
 
 def mask_fields(df: DataFrame, fields_col: str = "fields", detector: Detector | None = None, words_cap: int | None = None) -> DataFrame:
