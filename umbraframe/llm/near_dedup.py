@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -220,25 +221,35 @@ def digests_and_frequencies(slim: DataFrame) -> tuple[DataFrame, np.ndarray, int
     return both.filter("segment IS NULL").select("doc_id", "digest"), np.log1p(n / np.maximum(df, 1)).astype(np.float32), n
 
 
-def keys_of(texts: DataFrame, idf) -> DataFrame:
-    """(key, then, last, rep) of each band of each document (doc_id, text), with the keys of the two bands that follow;
-    none for documents without words."""
+def keys_of(slim: DataFrame, idf) -> DataFrame:
+    """(doc_id, keys), the bands' keys of each row of (doc_id, text) where it lies; none for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler, table_ = Sampler(), idf.value
+        sampler, table_, recent = Sampler(), idf.value, OrderedDict()
         for batch in batches:
             docs, keys = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s, w = weighted(text.as_py(), table_)
-                if len(s):
+            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = cell.as_py()
+                same = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if same not in recent:
+                    s, w = weighted(text, table_)
+                    recent[same] = band_keys(sampler(s, w)).view(np.int64).tolist() if len(s) else None
+                    if len(recent) > 4_096:
+                        recent.popitem(last=False)
+                if recent[same]:
                     docs.append(doc)
-                    keys.append(band_keys(sampler(s, w)).view(np.int64))
+                    keys.append(recent[same])
             if docs:
-                k = np.array(keys)
-                cols = [np.roll(k, -i, axis=1).ravel() for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.repeat(docs, BANDS))], ["key", "then", "last", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
 
-    return texts.transform(ready).mapInArrow(run, "key long, then long, last long, rep long")
+    return slim.transform(ready).mapInArrow(run, "doc_id long, keys array<long>")
+
+
+def rows_of_keys(keyed: DataFrame) -> DataFrame:
+    """(key, then, last, rep) of each band of each row, with the keys of the two bands that follow."""
+    at = keyed.select(F.col("doc_id").alias("rep"), "keys", F.posexplode("keys").alias("i", "key"))
+    following = (F.expr(f"keys[pmod(i + {k}, {BANDS})]").alias(name) for k, name in ((1, "then"), (2, "last")))
+    return at.select("key", *following, "rep")
 
 
 def first_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -255,8 +266,11 @@ def first_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def links_of(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
-    """The pairs (a, b) of at least the similarity, by their whole texts."""
-    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+    """The pairs (a, b) of at least the similarity, by their whole texts.
+
+    The ids and texts of candidates grow with the input: these joins are merges at every size, never broadcasts.
+    """
+    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct().hint("merge")
     some = written(texts.join(needed, F.col("doc_id") == F.col("_id"), "left_semi"), "near-texts")
     left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -277,7 +291,7 @@ def links_of(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> Data
             yield batch.select([0, 1]).filter(pa.array(hit, pa.bool_()))
 
     # The text of a much linked document comes to its pairs; skewed partitions of pairs are split by the planner.
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").transform(ready).mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b").transform(ready).mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -309,12 +323,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast(idf)  # BUCKETS numbers
     copies = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies")), "near-copies")
     reps = copies.filter("rep_id IS NOT NULL").select(F.col("rep_id").alias("_rep"))
-    texts = slim.join(reps, F.col("doc_id") == F.col("_rep"), "left_semi")
-    keys = written(keys_of(texts, shared), "near-keys")
+    # Every row's keys are taken where its text lies, and those of copies dropped after: no text is shuffled for them.
+    keyed = written(keys_of(slim, shared), "near-keyed").join(reps, F.col("doc_id") == F.col("_rep"), "left_semi")
+    keys = rows_of_keys(keyed)
     sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center"), F.max("rep").alias("_high")).filter("center <> _high").drop("_high"), "near-sizes")
     keys = written(keys.join(sizes.select("key"), "key", "left_semi"), "near-held")
     pairs = written(first_pairs(keys, sizes), "near-pairs")
-    links = written(links_of(pairs, texts, shared, similarity), "near-links")
+    links = written(links_of(pairs, slim, shared, similarity), "near-links")
     labels = components(links)
     classes = copies.join(labels, F.col("rep_id") == F.col("id"), "left").select("digest", "rep_id", "n_copies", F.coalesce("label", "rep_id").alias("class_id"))
     classes = written(classes, "near-classes")
