@@ -71,7 +71,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with all their columns; of repeated rows (same id, equal text) one stays."""
     merged = _merged(docs, id_col, text_col, SALTS, None)
     kept = merged.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("doc_id").alias("_keep"), F.col("_sha").alias("_keep_sha")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = written(kept, "content-kept")
+    kept = written(kept, "content-kept").hint("merge")  # grows with the input: never broadcast
     sha = F.unhex(F.sha2(normalised(text_col).cast("binary"), 256))
     both = docs.withColumn("_sha_of", sha).join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_sha_of") == F.col("_keep_sha")), "left_semi")
     if kept.filter("_rows > 1").head(1):  # only then is there a row to drop, and a second shuffle worth it

@@ -116,7 +116,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = M
     numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
     slim = written(numbered.select("doc_id", "source", size_of().alias("size"), "_row"), "mix-sizes")
     copies = plan_rows(slim, weights, max_copies, seed).filter("copies > 0").select(F.col("_row").alias("_of"), "copies")
-    return numbered.join(copies, F.col("_row") == F.col("_of")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return numbered.join(copies.hint("merge"), F.col("_row") == F.col("_of")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -346,7 +346,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns; of repeated rows of it one stays."""
     kept = written(near_classes(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows")), "near-kept")
-    out = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    out = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
     return out.dropDuplicates([id_col]) if kept.filter("_rows > 1").head(1) else out
 
 
