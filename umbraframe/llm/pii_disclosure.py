@@ -96,9 +96,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Data
     """
     near = written(_entities(found.withColumn("_sha", F.xxhash64("_text"))), "pii-near")
     n_entity = near.groupBy("entity").agg(F.countDistinct("_row").alias("n_entity"))
-    pairs = near.select("_row", "_sha", "entity", F.explode(_words_of(F.concat_ws(" ", "_b", "_a"))).alias("term")).distinct()
-    pairs = pairs.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("_sha").alias("n_texts"))
-    pairs = written(pairs.filter((F.col("n_both") >= SUPPORT) & (F.col("n_texts") >= SUPPORT)), "pii-pairs")
+    beside = near.select("_row", "_sha", "entity", F.explode(_words_of(F.concat_ws(" ", "_b", "_a"))).alias("term")).distinct()
+    pairs = beside.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("_sha").alias("n_texts"))
+    pairs = pairs.filter((F.col("n_both") >= SUPPORT) & (F.col("n_texts") >= SUPPORT))
+    # n(t) is at least the documents in which t stands near any entity, so this bound on P(e | t) loses no term; it
+    # spares the corpus-wide count the words that stand near many entities.
+    n_near = beside.groupBy("term").agg(F.countDistinct("_row").alias("n_near"))
+    pairs = written(pairs.join(n_near, "term").filter(F.col("n_both") / F.col("n_near") >= GENERALISE).drop("n_near"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
     small = terms.count() <= BROADCAST_ROWS
     words = docs.select("_row", F.explode(_words_of(F.col("_text"))).alias("term"))
