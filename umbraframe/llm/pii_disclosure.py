@@ -22,10 +22,11 @@ from umbraframe.llm.common import joined_spans, kind_spans, matches, table, whol
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: A match starts at the end of the one before or where a run starts: no start inside a run can be leftmost.
-EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
-#: Greedy maximal runs: asking for the least number of digits keeps the same matches.
-CARD = r"[0-9](?:[\x20-]?[0-9]){13,}"
+EMAIL = rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: As for emails: a start inside a run of digits is never leftmost, and no run is given back.
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+#: Greedy maximal runs: asking for the least number of digits keeps the same matches. Possessive loops need no stack.
+CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 
@@ -80,8 +81,9 @@ def _entities(found: DataFrame) -> DataFrame:
     each = F.concat(*[F.transform(kind, named(kind)) for kind in ("email", "ip", "card", "phone")])
     rows = found.select("_row", "_sha", "_text", F.explode(each).alias("e")).select("_row", "_sha", "e.entity", F.expr("substring(_text, 1, e.start)").alias("_before"), F.expr("substring(_text, e.end + 1, length(_text))").alias("_after"))
     # The nearest words on either side, by patterns anchored at the entity.
-    before = F.regexp_extract("_before", r"((?:\S+\s+){0,%d}\S*)$" % NEAR, 1)
-    after = F.regexp_extract("_after", r"^(\S*(?:\s+\S+){0,%d})" % NEAR, 1)
+    beside = r"^(\S*(?:\s+\S+){0,%d})" % NEAR
+    before = F.reverse(F.regexp_extract(F.reverse("_before"), beside, 1))
+    after = F.regexp_extract("_after", beside, 1)
     return rows.select("_row", "_sha", "entity", before.alias("_b"), after.alias("_a"))
 
 
