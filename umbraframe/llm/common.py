@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Matches of a text that one fold gathers.
+BLOCK = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,15 +54,27 @@ def matches(text: Column, pattern: str | Column) -> Column:
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    spans = "array<struct<start:int,end:int,value:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
     def step(acc, x):
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
+    def moved(block, by):
+        return F.transform(block["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def shifted(blocks):
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(blocks, none, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, before, moved))
+
+    # A fold copies what it has gathered at each step, so it runs over blocks of matches, and once over the blocks.
+    # The arrays of one element bind a value to a name: a lambda evaluates what it names anew for each element.
     pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda m, g: F.struct(g.alias("gap"), m.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    blocks = F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: F.aggregate(F.slice(p, i * BLOCK + 1, F.lit(BLOCK)), zero, step)))
+    return F.when(F.size(found) > 0, F.transform(blocks, shifted)[0]).otherwise(F.array().cast(spans))
 
 
 def kind_spans(found: Column, kind: str, order: int) -> Column:
