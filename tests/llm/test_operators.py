@@ -224,6 +224,37 @@ def test_near_dedup(docs, rows):
     assert near_dedup.near_classes(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_large_keys(spark):
+    """Families of more than SMALL documents whose members straddle the threshold: the classes are those of all pairs of a key."""
+    rng, texts = random.Random(3), []
+    for changed in (4, 6, 8, 8):
+        base = [rng.choice(WORDS) for _ in range(300)]
+        for _ in range(60):
+            words = list(base)
+            for at in rng.sample(range(300), changed):
+                words[at] = "".join(rng.choice("klmnop") for _ in range(8))
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dedup.digests_and_frequencies(near_dedup._slim(docs, "doc_id", "text"))[1]
+    vectors = [near_dedup.weighted(t, idf) for t in texts]
+    sampler = near_dedup.Sampler()
+    keys = [set(near_dedup.band_keys(sampler(*v)).tolist()) for v in vectors]
+    want = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if want[a] != want[b] and keys[a] & keys[b] and near_dedup.weighted_jaccard(vectors[a], vectors[b]) >= 0.8:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert max(len([k for k in keys if key in k]) for key in set.union(*keys)) > 2 * near_dedup.SMALL
+    assert 4 < len(set(want)) < len(texts)
+    for rows in (near_dedup.BLOCK_ROWS, 7):  # in one block, and in many
+        near_dedup.BLOCK_ROWS, old = rows, near_dedup.BLOCK_ROWS
+        got = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+        near_dedup.BLOCK_ROWS = old
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))

@@ -10,7 +10,11 @@
 4. In keys of up to ``SMALL`` documents all pairs are compared. A larger key is ordered by the keys of its documents'
    following bands, so that those that agree in most bands lie side by side; each is compared with the one before it and
    with the smallest id, once in each of its keys: a forest of ``BANDS`` orders, linear in the size of a group.
-   Pairs of at least ``SIMILARITY`` weighted Jaccard, over whole texts, are links; their components are the classes.
+   Pairs of at least ``SIMILARITY`` weighted Jaccard, over whole texts, are links.
+5. In larger keys that still hold several classes, all pairs of different classes are compared, in blocks of texts against
+   blocks of texts, so that no link between documents of one key is lost at any size. Only the key's largest class is not
+   compared with itself: the work is the product of a key's documents and those outside its largest class.
+   The components of all links are the classes.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 SEGMENTS = 64
 SMALL = 12
+#: Documents, and characters, that a block of an exact comparison holds on average.
+BLOCK_ROWS, BLOCK_CHARS = 1_000, 8_000_000
 SALTS = 16
 
 _U = np.uint64
@@ -265,13 +271,17 @@ def first_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return spread.unionByName(star).unionByName(chain).distinct()
 
 
-def links_of(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents of pairs."""
+    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct().hint("merge")
+    return texts.join(needed, F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def links_of(pairs: DataFrame, some: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least the similarity, by their whole texts.
 
     The ids and texts of candidates grow with the input: these joins are merges at every size, never broadcasts.
     """
-    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct().hint("merge")
-    some = written(texts.join(needed, F.col("doc_id") == F.col("_id"), "left_semi"), "near-texts")
     left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
 
@@ -311,6 +321,71 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(row)
 
 
+def cross_links(docs: list[tuple], key: int, within: bool, idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the classes of documents (label, side, keys, text): of all pairs of one block, or of side 0 with side 1.
+
+    A pair is left to the smallest key that its documents share. Once two classes are linked they are one here.
+    """
+    labels, side = np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs])
+    found = np.array(labels)
+    lower = [[k for k in d[2] if k < key] for d in docs]
+    held = np.full((len(docs), BANDS), key, np.int64)
+    for i, some in enumerate(lower):
+        held[i, : len(some)] = some
+    vectors = [weighted(d[3], idf) for d in docs]
+    total, sizes = np.array([float(w.sum()) for _, w in vectors]), np.array([len(s) for s, _ in vectors])
+    at, w = np.unique(np.concatenate([s for s, _ in vectors]), return_inverse=True)[1], np.concatenate([w for _, w in vectors])
+    ends, out = np.cumsum(sizes), []
+    dense = np.zeros(int(at.max()) + 1)
+    for a in range(len(docs)):
+        # No more than the lesser of two weights is shared.
+        other = (found != found[a]) & (np.minimum(total, total[a]) >= (similarity - 1e-9) * np.maximum(total, total[a]))
+        other &= np.arange(len(docs)) > a if within else (side == 1) & (side[a] == 0)
+        if lower[a] and other.any():
+            other[other] = ~np.isin(held[other], lower[a]).any(1)
+        if not other.any():
+            continue
+        own = slice(ends[a] - sizes[a], ends[a])
+        dense[at[own]] = w[own]
+        rows, b = np.repeat(other, sizes), np.nonzero(other)[0]
+        least = np.add.reduceat(np.minimum(dense[at[rows]], w[rows]), np.cumsum(sizes[b]) - sizes[b])
+        dense[at[own]] = 0
+        for x in b[least / (total[a] + total[b] - least) >= similarity - 1e-9]:
+            if found[x] != found[a]:
+                out.append((int(min(labels[x], labels[a])), int(max(labels[x], labels[a]))))
+                found[found == found[x]] = found[a]
+    return out
+
+
+def more_links(keys: DataFrame, sizes: DataFrame, labels: DataFrame, some: DataFrame, idf, similarity: float) -> DataFrame:
+    """(a, b): links between the classes that large keys still hold, by all pairs of documents of different classes.
+
+    Documents of a key are dealt to blocks, those of its largest class to blocks of their own, and each two blocks are
+    compared as a group unless both are of the largest class.
+    """
+    held = keys.select("key", "rep").join(sizes.filter(F.col("n") > SMALL).select("key"), "key").join(labels.hint("merge"), F.col("rep") == F.col("id"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+    most = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("n", "label")).alias("_most"))
+    held = written(held.join(most.filter("classes > 1").drop("classes"), "key").withColumn("rest", (F.col("label") != F.col("_most")).cast("int")).drop("_most"), "near-open")
+    docs = held.groupBy("rep").agg(F.collect_list("key").alias("keys"))
+    texts = written(some.join(docs.hint("merge"), F.col("doc_id") == F.col("rep"), "inner").select("rep", "keys", "text"), "near-open-texts")
+    held = held.join(texts.select("rep", F.length("text").alias("_chars")).hint("merge"), "rep")
+    blocks = lambda rest: F.ceil(F.greatest(F.sum((F.col("rest") == rest).cast("int")) / BLOCK_ROWS, F.sum(F.when(F.col("rest") == rest, F.col("_chars")).otherwise(0)) / BLOCK_CHARS, F.lit(1)))
+    dealt = held.drop("_chars").join(held.groupBy("key").agg(blocks(0).alias("_n0"), blocks(1).alias("_n1")), "key")
+    # Blocks 0 to _n0 - 1 are the largest class's.
+    block = F.when(F.col("rest") == 1, F.col("_n0") + F.pmod(F.xxhash64("rep"), F.col("_n1"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("_n0")))
+    with_ = F.explode(F.sequence(F.when(F.col("rest") == 1, F.lit(0)).otherwise(F.col("_n0")), F.col("_n0") + F.col("_n1") - 1))
+    met = dealt.withColumn("block", block).withColumn("with", with_)
+    met = met.select("key", "rep", "label", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), (F.col("block") > F.col("with")).cast("int").alias("side"))
+
+    def run(group: pa.Table) -> pa.Table:
+        docs = list(zip(*(group.column(c).to_pylist() for c in ("label", "side", "keys", "text")), strict=True))
+        first = group.slice(0, 1).to_pylist()[0]
+        out = cross_links(docs, first["key"], first["i"] == first["j"], idf.value, similarity)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return met.join(texts.hint("merge"), "rep").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: doc_id, class_id (the smallest id of its class), rep_id (of its exact copies), class_size, kept.
 
@@ -329,8 +404,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center"), F.max("rep").alias("_high")).filter("center <> _high").drop("_high"), "near-sizes")
     keys = written(keys.join(sizes.select("key"), "key", "left_semi"), "near-held")
     pairs = written(first_pairs(keys, sizes), "near-pairs")
-    links = written(links_of(pairs, slim, shared, similarity), "near-links")
+    some = written(texts_of(pairs, slim), "near-texts")
+    links = written(links_of(pairs, some, shared, similarity), "near-links")
     labels = components(links)
+    # Each document of a large key has a pair, so its text is among those of pairs.
+    more = written(more_links(keys, sizes, labels, some, shared, similarity), "near-more")
+    if more.head(1):
+        labels = components(links.unionByName(more))
     classes = copies.join(labels, F.col("rep_id") == F.col("id"), "left").select("digest", "rep_id", "n_copies", F.coalesce("label", "rep_id").alias("class_id"))
     classes = written(classes, "near-classes")
     total = classes.groupBy("class_id").agg(F.sum("n_copies").alias("class_size"))
