@@ -255,6 +255,14 @@ def test_near_dedup_of_large_keys(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_order_of_large_keys_joins_equal_bands(spark):
+    """Rows that agree in a key and the two that follow are one chain in its order, whatever their ids."""
+    rows = [(1, 2, 3, i) for i in range(100)] + [(1, 4, 5, 100 + i) for i in range(100)]
+    keys = spark.createDataFrame(rows, "key long, then long, last long, rep long")
+    pairs = near_dedup.first_pairs(keys, spark.createDataFrame([(1, 200, 0)], "key long, n long, center long")).collect()
+    assert {(i, i + 1) for i in (*range(99), *range(100, 199))} <= {(r.a, r.b) for r in pairs}
+
+
 def test_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     s = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))

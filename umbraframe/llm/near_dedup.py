@@ -265,8 +265,8 @@ def first_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     spread = small.select(F.posexplode("reps").alias("i", "a"), "reps").select("a", F.explode(F.expr("slice(reps, i + 2, size(reps))")).alias("b"))
     large = held.filter(F.col("n") > SMALL)
     star = large.filter("rep > center").select(F.col("center").alias("a"), F.col("rep").alias("b"))
-    # Salted by the next band's key, which keeps the most similar together, and by a few parts of the ids.
-    line = Window.partitionBy("key", F.pmod(F.xxhash64("then"), F.lit(SALTS)), F.pmod(F.xxhash64("rep"), F.lit(4))).orderBy("then", "last", "rep")
+    # Salted by the next band's key only, which keeps the most similar together: parts of the ids would part near copies in every key.
+    line = Window.partitionBy("key", F.pmod(F.xxhash64("then"), F.lit(SALTS))).orderBy("then", "last", "rep")
     chain = large.select(F.lag("rep").over(line).alias("x"), F.col("rep").alias("y")).filter("x IS NOT NULL AND x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return spread.unionByName(star).unionByName(chain).distinct()
 
