@@ -148,6 +148,28 @@ def test_pii(docs, rows, spark):
     assert "orblax" not in clean[9] and "boss@" not in clean[0] and "[EMAIL]" in clean[0] and clean[20] == told[5][1]
 
 
+def test_pii_terms_far_from_their_entities(spark):
+    """Terms of the whole text count, however far from the entity; words within addresses do not."""
+    told = [(i, f"Zorblax greets {prose(30)} boss@quuxfirm.example.com {prose(8)} and +1 212 555 0199") for i in range(4)]
+    told += [(4 + i, f"{'Vexil ' if i < 4 else ''}{prose(9)} 10.1.2.3 {'' if i < 4 else 'far from ' + prose(20)}{' Vexil' if i < 1 else ''}") for i in range(4)]
+    told += [(9, "zorblax again, vexil too, and quuxfirm"), *((20 + i, prose(9)) for i in range(200))]
+    out = {r.doc_id: r for r in pii_disclosure.find(spark.createDataFrame(told, "doc_id long, text string")).collect()}
+    text = dict(told)
+    got = {i: {text[i][s.start : s.end].lower() for s in r.found if s.kind in ("term", "cut")} for i, r in out.items()}
+    assert {"zorblax", "vexil"} <= got[9] and "quuxfirm" not in got[9] and "zorblax" in got[0] and "vexil" in got[4]
+    # Brute force: n(t, e), n(t) and n(e) over whole texts.
+    entities = {i: {e for e in ("boss@quuxfirm.example.com", "+1 212 555 0199", "10.1.2.3") if e in t} for i, t in told}
+    words = {i: set(re.findall("[a-z]{3,}", t.lower().replace("boss@quuxfirm.example.com", " "))) for i, t in told}
+    over = set()
+    for t in set.union(*words.values()):
+        n_t = sum(t in w for w in words.values())
+        for e in ("boss@quuxfirm.example.com", "+1 212 555 0199", "10.1.2.3"):
+            n_e, both = sum(e in x for x in entities.values()), sum(t in words[i] and e in entities[i] for i in words)
+            if both >= 3 and both / n_t >= 0.5 and np.log2(both / n_t / (n_e / len(told))) >= 4:
+                over.add(t)
+    assert set().union(*got.values()) == over
+
+
 def test_bpe(docs, rows):
     from tokenizers import Tokenizer
 

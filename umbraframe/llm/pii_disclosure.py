@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the terms that give entities away.
 
-The protected entities are the values that the patterns find. A term (three or more letters, lower case) within
-``NEAR`` words of an entity co-occurs with it. Over the whole corpus,
+The protected entities are the values that the patterns find. A term (three or more letters, lower case, outside
+e-mail addresses) co-occurs with each entity of its document, wherever they stand. Over the whole corpus,
 
-* n(t, e): documents in which t stands near e, of at least ``SUPPORT`` different texts,
-* n(t): documents that hold t anywhere, n(e): documents that hold e, N: all documents,
+* n(t, e): documents that hold t and e, of at least ``SUPPORT`` different texts,
+* n(t): documents that hold t, n(e): documents that hold e, N: all documents,
 * disclosure of e by t: P(e | t) = n(t, e) / n(t), and the information log2(P(e | t) / P(e)) in bits.
 
 A term of at least ``BITS`` bits and P(e | t) of at least ``GENERALISE`` is generalised, from ``REMOVE`` on
@@ -15,7 +15,7 @@ rows are within ``BROADCAST_ROWS``, joined by a pre-aggregated shuffle beyond.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbraframe.llm.common import joined_spans, kind_spans, matches, table, whole_text, written
@@ -30,7 +30,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 
-NEAR = 5
 SUPPORT = 3
 BITS = 4.0
 GENERALISE = 0.5
@@ -73,22 +72,19 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _entities(found: DataFrame) -> DataFrame:
-    """A row for each entity of a row: _row, _sha, entity, near (the words around)."""
+    """_row, _text and the different entities of each row."""
     def named(kind):
         plain = {"email": F.lower, "ip": lambda v: v}.get(kind, digits)
-        return lambda m: F.struct(F.concat(F.lit(f"{kind}:"), plain(m["value"])).alias("entity"), m["start"].alias("start"), m["end"].alias("end"))
+        return lambda m: F.concat(F.lit(f"{kind}:"), plain(m["value"]))
 
     each = F.concat(*[F.transform(kind, named(kind)) for kind in ("email", "ip", "card", "phone")])
-    rows = found.select("_row", "_sha", "_text", F.explode(each).alias("e")).select("_row", "_sha", "e.entity", F.expr("substring(_text, 1, e.start)").alias("_before"), F.expr("substring(_text, e.end + 1, length(_text))").alias("_after"))
-    # The nearest words on either side, by patterns anchored at the entity.
-    beside = r"^(\S*(?:\s+\S+){0,%d})" % NEAR
-    before = F.reverse(F.regexp_extract(F.reverse("_before"), beside, 1))
-    after = F.regexp_extract("_after", beside, 1)
-    return rows.select("_row", "_sha", "entity", before.alias("_b"), after.alias("_a"))
+    return found.select("_row", "_text", F.array_distinct(each).alias("entities"))
 
 
 def _words_of(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+    """Different terms; of the patterns' spans, only those of e-mail addresses have letters."""
+    outside = F.when(text.contains("@"), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,21 +92,29 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, Data
 
     found: _row, _text, email, ip, card, phone as of :func:`base_spans`, for rows with an entity.
     """
-    near = written(_entities(found.withColumn("_sha", F.xxhash64("_text"))), "pii-near")
-    n_entity = near.groupBy("entity").agg(F.countDistinct("_row").alias("n_entity"))
-    beside = near.select("_row", "_sha", "entity", F.explode(_words_of(F.concat_ws(" ", "_b", "_a"))).alias("term")).distinct()
-    pairs = beside.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("_sha").alias("n_texts"))
+    texts = written(_entities(found), "pii-texts")
+    total = docs.count()
+    held_by = texts.select("_row", F.xxhash64("_text").alias("_sha"), F.explode("entities").alias("entity")).distinct()
+    n_entity = held_by.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("_sha").alias("n_texts"), *[F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(f"_rows{i}") for i in (0, 1)])
+    # Bounds that lose no term: n(t, e) is at most n(e), and the information at most log2(1 / P(e)). Entities of the same
+    # documents have the same counts with every term; the smallest stands for them.
+    n_entity = n_entity.filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") * F.lit(2.0**BITS) <= total * (1 + 1e-9)))
+    n_entity = written(n_entity.withColumn("first", F.min("entity").over(Window.partitionBy("n_entity", "_rows0", "_rows1"))).select("entity", "first", "n_entity"), "pii-entities")
+    n_entity, same = n_entity.filter("entity = first").select("entity", "n_entity"), held_by.join(n_entity.filter("entity = first").select("entity"), "entity")
+    same = same.groupBy("_row", "_sha").agg(F.collect_list("entity").alias("_of")).withColumnRenamed("_row", "_held")
+    both = texts.select("_row", "_text").join(same, F.col("_row") == F.col("_held")).dropDuplicates(["_row"])
+    beside = both.select("_row", "_sha", "_of", F.explode(_words_of(F.col("_text"))).alias("term"))
+    pairs = beside.select("term", "_sha", F.explode("_of").alias("entity")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("_sha").alias("n_texts"))
     pairs = pairs.filter((F.col("n_both") >= SUPPORT) & (F.col("n_texts") >= SUPPORT))
-    # n(t) is at least the documents in which t stands near any entity, so this bound on P(e | t) loses no term; it
-    # spares the corpus-wide count the words that stand near many entities.
-    n_near = beside.groupBy("term").agg(F.countDistinct("_row").alias("n_near"))
+    # n(t) is at least the documents in which t stands with any entity, so this bound on P(e | t) loses no term; it
+    # spares the corpus-wide count the words that stand with many entities.
+    n_near = beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
     pairs = written(pairs.join(n_near, "term").filter(F.col("n_both") / F.col("n_near") >= GENERALISE).drop("n_near"), "pii-pairs")
     terms = written(pairs.select("term").distinct(), "pii-terms")
     small = terms.count() <= BROADCAST_ROWS
     words = docs.select("_row", F.explode(_words_of(F.col("_text"))).alias("term"))
     held = written(words.join(F.broadcast(terms) if small else terms, "term"), "pii-held")
     n_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = docs.count()
     p = F.col("n_both") / F.col("n_term")
     scored = pairs.join(n_term, "term").join(n_entity, "entity").withColumn("p", p).withColumn("bits", F.log2(p / (F.col("n_entity") / F.lit(float(max(total, 1))))))
     over = scored.filter((F.col("p") >= GENERALISE) & (F.col("bits") >= BITS)).groupBy("term").agg((F.max("p") >= REMOVE).alias("cut"))
