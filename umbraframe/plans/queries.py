@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from umbraframe.functions import names, words
 from umbraframe.functions import spans as S
+from umbraframe.functions.words import MAX_WIDTH
 from umbraframe.operators import detect, masking
 from umbraframe.sources import models
 
@@ -167,6 +168,23 @@ def logits_decode(spark, sf_dir):
     return x.select(F.col("id").alias("doc_id"), "start", "end", "label", "width", "label_index")
 
 
+def window_logits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Made-up logits in steps of a quarter of all words, in each window of the plan, at all of the model's widths."""
+    w = words_with_offsets(spark, sf_dir).select(F.col("doc_id").alias("id"), "pos", "start", "end")
+    n = F.col("last") - F.col("first")
+    cells = window_plan(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("w").alias("window"), F.col("first").alias("first_word"), n.alias("n_words"))
+    for name, last in (("start_word", F.col("n_words") - 1), ("width", F.lit(MAX_WIDTH - 1)), ("label_index", F.lit(len(S.LABELS) - 1))):
+        cells = cells.withColumn(name, F.explode(F.sequence(F.lit(0), last)))
+    value = (F.col("id") * 7 + (F.col("first_word") + F.col("start_word")) * 31 + F.col("width") * 17 + F.col("label_index") * 13 + F.col("window") * 5) % 97
+    return cells.withColumn("logit", value.cast("double") / 4 - 24), w
+
+
+def logits_decode_windows(spark, sf_dir):
+    """Spans of whole texts by their windows; those in the words that two windows share come from each."""
+    x = detect.decode_logits(*window_logits(spark, sf_dir), S.LABELS, 0.3)
+    return x.select(F.col("id").alias("doc_id"), "window", "start", "end", "label", "width", "label_index")
+
+
 def label_histogram(spark, sf_dir):
     return exploded(detected(spark, sf_dir)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 

@@ -32,6 +32,7 @@ QUERIES = {
     "name_mask_given": q.name_mask(GIVEN_TOO),
     "name_mask_transcript": q.name_mask_transcript,
     "logits_decode": q.logits_decode,
+    "logits_decode_windows": q.logits_decode_windows,
     "label_histogram": q.label_histogram,
     "probe_verdict": q.probe_verdict,
     "safe_component": q.safe_component,
