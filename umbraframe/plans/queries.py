@@ -105,7 +105,14 @@ def garbled(restored_by):
 
 def replies_join(spark, sf_dir):
     """A reply of the whole masked text to each document; to every third one more, of a key that no request has."""
-    x = masking.mask_spans(detected(spark, sf_dir)).select("doc_id", "masked", "restore")
+    import tempfile
+    import uuid
+
+    # Written, as both sides of the join would mask all documents.
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="umbraframe-")
+    path = f"{base.rstrip('/')}/masked-{uuid.uuid4().hex}"
+    masking.mask_spans(detected(spark, sf_dir)).select("doc_id", "masked", "restore").write.parquet(path)
+    x = spark.read.parquet(path)
     keys = F.when(F.col("doc_id") % 3 == 1, F.array(F.col("doc_id"), -1 - F.col("doc_id"))).otherwise(F.array("doc_id"))
     replies = x.select(F.explode(keys).alias("doc_id"), F.col("masked").alias("reply"))
     return masking.restore_replies(replies, x, "doc_id").select("doc_id", "restored")
