@@ -220,7 +220,7 @@ def test_counts_and_store(docs, rows, spark, tmp_path):
     assert token_store.export_files(spark, str(tmp_path / "store"), str(tmp_path / "files")) >= 1
 
 
-def test_tiff(docs, rows):
+def test_tiff(docs, rows, spark):
     for how in (tiff_media.NO_COMPRESSION, tiff_media.LZW, tiff_media.DEFLATE, tiff_media.PACKBITS):
         for predictor in (1, 2):
             for tiled in (False, True):
@@ -230,10 +230,58 @@ def test_tiff(docs, rows):
                 with pytest.raises(tiff_media.BadTiff):
                     list(tiff_media.pages_of(data[: len(data) // 2]))
     stored = tiff_media.store_texts(docs)
-    got = sorted((key(r.doc_id), r.n_bytes, r.payload_sha256) for r in stored.collect())
-    assert got == sorted((key(i), len(t.encode()), hashlib.sha256(tiff_media.padded(t.encode())).hexdigest()) for i, t, _ in rows)
-    pages = tiff_media.read_pages(stored)
+    assert stored.columns == ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    got = sorted((key(r.doc_id), r.n_bytes, r.payload_sha256, r.tail_crc32) for r in stored.collect())
+    payloads = [(key(i), len(t.encode()), tiff_media.padded(t.encode())) for i, t, _ in rows]
+    assert got == sorted((i, n, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) for i, n, p in payloads)
+    media = tiff_media.write_media(docs)
+    pages = tiff_media.read_pages(media)
     assert pages.filter("error IS NOT NULL").count() == 0 and pages.select("doc_id", "page").count() >= len(rows)
+    torn = spark.createDataFrame([(None, b"II*\0\0\0"), (1, None), (2, b""), (3, b"no TIFF")], "doc_id long, media binary")
+    assert sorted((key(r.doc_id), r.page, r.pages, r.error is None) for r in tiff_media.read_pages(torn).collect()) == [(key(3), 0, 1, False), (key(None), 0, 1, False)]
+    assert tiff_media.store_texts(docs.limit(0)).count() == 0
+
+
+def lzw_slowly(data):
+    """A decoder of one code at a time by the format's rule, and none of the operator's."""
+    bits = "".join(f"{b:08b}" for b in data)
+    at, out, words, last, widths = 0, b"", None, None, []
+    while True:
+        width = 9 if words is None else next(w for w in (9, 10, 11, 12) if len(words) + 1 < 1 << w or w == 12)
+        code = int(bits[at : at + width], 2)
+        at += width
+        widths.append(width)
+        if code == 257:
+            return out, widths
+        if code == 256:
+            words, last = [bytes((i,)) for i in range(256)] + [b"", b""], None
+            continue
+        word = words[code] if code < len(words) else last + last[:1]
+        if last is not None:
+            words.append(last + word[:1])
+        out, last = out + word, word
+
+
+def test_lzw_of_every_width_and_size():
+    rng = np.random.default_rng(3)
+    for data in (b"", b"a", b"a" * 9_000, bytes(range(256)) * 3, rng.integers(0, 256, 9_000, np.uint8).tobytes(), rng.integers(0, 3, 60_000, np.uint8).tobytes(), LONG.encode()):
+        coded = tiff_media.lzw_encode(data)
+        back, widths = lzw_slowly(coded)
+        assert back == data == tiff_media.lzw_decode(coded, len(data))
+        assert len(data) < 9_000 or len(set(data)) == 1 or set(widths) == {9, 10, 11, 12}
+
+
+def test_layouts_occur_at_every_size():
+    """Codec, predictor and layout go by the payload's CRC alone: all of them are read back from long payloads too."""
+    seen = {}
+    for n in (64, 640, 6_400, 128_000):
+        for i in range(80):
+            payload = np.random.default_rng(i).integers(97, 123, n).astype(np.uint8).tobytes()
+            pages = list(tiff_media.pages_of(tiff_media.payload_to_tiff(payload)))
+            assert b"".join(p.tobytes() for _, p in pages) == payload
+            tags = pages[0][0]
+            seen.setdefault(n, set()).add((tags[tiff_media.COMPRESSION][0], tiff_media.TILE_OFFSETS in tags))
+    assert all(x == {(c, t) for c in (tiff_media.PACKBITS, tiff_media.DEFLATE, tiff_media.LZW) for t in (False, True)} for x in seen.values())
 
 
 def test_near_dedup(docs, rows):

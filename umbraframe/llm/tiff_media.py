@@ -30,9 +30,7 @@ TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NAMES = {NO_COMPRESSION: "none", LZW: "lzw", DEFLATE: "deflate", PACKBITS: "packbits", OLD_DEFLATE: "deflate"}
 
 #: Samples across a page of stored text, most rows of a page, rows of a strip, and rows and columns of a tile.
-COLUMNS, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 64, 16
-#: Longer payloads are not stored as LZW: its codes are walked one by one.
-LZW_MOST = 512
+COLUMNS, PAGE_ROWS, STRIP_ROWS, TILE = 64, 1024, 64, 32
 
 
 class BadTiff(ValueError):
@@ -90,77 +88,83 @@ def packbits_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
+def _lzw_widths(n: int) -> np.ndarray:
+    """Bits of the first n codes after a clear code: both sides' tables grow by one with each code but the first."""
+    size = 257 + np.maximum(np.arange(n), 1)
+    return 9 + (size + 1 >= 512).astype(np.int64) + (size + 1 >= 1024) + (size + 1 >= 2048)
+
+
+#: Codes between two clear codes, at most; their bits and where they begin.
+LZW_RUN = 4094 - 258 + 2
+_LZW_WIDTHS = _lzw_widths(LZW_RUN)
+_LZW_STARTS = np.concatenate([[0], np.cumsum(_LZW_WIDTHS)])
+
+
+def _packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes one after another, from the high bit down: each lies in three bytes at most, and no two share a bit."""
+    starts = np.cumsum(widths) - widths
+    total = int(starts[-1] + widths[-1])
+    at, window = starts >> 3, codes << (24 - widths - (starts & 7))
+    out = sum(np.bincount(at + k, window >> (16 - 8 * k) & 255, (total + 7 >> 3) + 2) for k in range(3))
+    return out.astype(np.uint8)[: total + 7 >> 3].tobytes()
+
+
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: codes of 9 to 12 bits from the high bit down, one code earlier than the table's size."""
-    bits, held, n_bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, n_bits
-        held, n_bits = held << width | code, n_bits + width
-        while n_bits >= 8:
-            n_bits -= 8
-            bits.append(held >> n_bits & 255)
-        held &= (1 << n_bits) - 1
-
-    table = {bytes((i,)): i for i in range(256)}
-    following, width, word = 258, 9, b""
-    put(256, width)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
+    """TIFF's LZW: codes of 9 to 12 bits from the high bit down, one code earlier than the table's size.
+
+    Words are numbered by (word before, byte), so each byte costs one look-up of a number.
+    """
+    codes, widths, run, table, following, word = [256], [np.array([9])], [], {}, 258, -1
+    for byte in data:
+        if word < 0:
+            word = byte
+            continue
+        longer = table.get(word << 8 | byte)
+        if longer is not None:
             word = longer
             continue
-        put(table[word], width)
-        table[longer] = following
+        run.append(word)
+        table[word << 8 | byte] = following
         following += 1
+        word = byte
         if following == 4095:
-            put(256, width)
-            table = {bytes((k,)): k for k in range(256)}
-            following, width = 258, 9
-        elif following + 1 > 1 << width:
-            width += 1
-        word = data[i : i + 1]
-    if word:
-        put(table[word], width)
-        following += 1
-        if following + 1 > 1 << width and width < 12:
-            width += 1
-    put(257, width)
-    if n_bits:
-        bits.append(held << (8 - n_bits) & 255)
-    return bytes(bits)
+            codes += [*run, 256]
+            widths.append(_LZW_WIDTHS[: len(run) + 1])
+            run, table, following = [], {}, 258
+    run += [word] * (word >= 0) + [257]
+    widths.append(_LZW_WIDTHS[: len(run)])
+    return _packed(np.array(codes + run, np.int64), np.concatenate(widths))
 
 
 def lzw_decode(data: bytes, size: int) -> bytes:
-    start = [bytes((i,)) for i in range(256)] + [b"", b""]
-    words, width, out, have, last = list(start), 9, [], 0, b""
-    held = n_bits = at = 0
+    """The codes of a run are read at once, as their bits follow from their places alone; the words one by one."""
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64)
+    three = raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:]
+    out, have, bit, plain = [], 0, 0, [bytes((i,)) for i in range(256)] + [b"", b""]
     while have < size:
-        while n_bits < width:
-            if at >= len(data):
-                return b"".join(out)
-            held, n_bits, at = held << 8 | data[at], n_bits + 8, at + 1
-        n_bits -= width
-        code = held >> n_bits
-        held &= (1 << n_bits) - 1
-        if code == 256:
-            words, width, last = list(start), 9, b""
-            continue
-        if code == 257:
+        starts = _LZW_STARTS[:LZW_RUN] + bit
+        starts = starts[: np.searchsorted(starts + _LZW_WIDTHS, 8 * len(data), "right")]
+        codes = three[starts >> 3] >> (24 - _LZW_WIDTHS[: len(starts)] - (starts & 7)) & (1 << _LZW_WIDTHS[: len(starts)]) - 1
+        stops = np.nonzero((codes == 256) | (codes == 257))[0]
+        n = int(stops[0]) if len(stops) else len(codes)
+        words, last = list(plain), b""
+        for code in codes[:n].tolist():
+            if code < len(words):
+                word = words[code]
+            elif code == len(words) and last:
+                word = last + last[:1]
+            else:
+                raise BadTiff("an LZW code out of order")
+            if last:
+                words.append(last + word[:1])
+            out.append(word)
+            have += len(word)
+            last = word
+            if have >= size:
+                break
+        if not len(stops) or codes[n] == 257:
             break
-        if code < len(words):
-            word = words[code]
-        elif code == len(words) and last:
-            word = last + last[:1]
-        else:
-            raise BadTiff("an LZW code out of order")
-        if last:
-            words.append(last + word[:1])
-        out.append(word)
-        have += len(word)
-        last = word
-        if len(words) + 1 >= 1 << width and width < 12:
-            width += 1
+        bit += int(_LZW_STARTS[n + 1])
     return b"".join(out)[:size]
 
 
@@ -291,10 +295,10 @@ def padded(content: bytes, multiple: int = 64) -> bytes:
 
 
 def layout(payload: bytes) -> tuple[int, int, bool]:
-    """(compression, predictor, tiled) by the payload alone, so that all of them occur and equal payloads agree."""
+    """(compression, predictor, tiled) by the payload's CRC alone, so that all of them occur at every size and equal payloads agree."""
     pick = zlib.crc32(payload)
-    how = LZW if len(payload) <= LZW_MOST and pick % 4 == 3 else PACKBITS if pick % 4 == 0 else DEFLATE
-    return how, 2 if how != PACKBITS and pick >> 2 & 1 else 1, bool(pick >> 3 & 1) and len(payload) <= 64 * COLUMNS
+    how = (PACKBITS, DEFLATE, DEFLATE, LZW)[pick % 4]
+    return how, 2 if how != PACKBITS and pick >> 2 & 1 else 1, bool(pick >> 3 & 1)
 
 
 def payload_to_tiff(payload: bytes) -> bytes:
@@ -302,66 +306,108 @@ def payload_to_tiff(payload: bytes) -> bytes:
     return write_tiff([samples[i : i + PAGE_ROWS] for i in range(0, len(samples), PAGE_ROWS)], *layout(payload))
 
 
-def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per page: doc_id, page (from 0), width, height, compression, predictor, tiled, samples, error.
+#: Bytes of samples after which rows are handed on.
+BATCH_BYTES = 4_000_000
+
+
+def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as TIFF media: doc_id, n_bytes (of the text), media.
 
-    Defined cases: null or empty media give no rows; media that are no TIFF of 8-bit samples, or are torn,
-    give one row with an error where the walk ends; repeated rows give their pages each.
+    Defined cases: a null text is empty; an empty text is a payload of 64 bytes 0; null ids pass through;
+    repeated rows each get a row, equal texts equal media; an empty table gives no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows, n = [], 0
-                try:
-                    for tags, page in pages_of(data) if data else ():
-                        rows.append((doc, n, page.shape[1], page.shape[0], NAMES[tags.get(COMPRESSION, (1,))[0]], tags.get(PREDICTOR, (1,))[0], TILE_OFFSETS in tags, page.tobytes(), None))
-                        n += 1
-                except BadTiff as e:
-                    rows.append((doc, n, None, None, None, None, None, None, str(e)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    names = ["doc_id", "page", "width", "height", "compression", "predictor", "tiled", "samples", "error"]
-    slim = media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
-    return slim.transform(ready).mapInArrow(run, "doc_id long, page int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string")
-
+            for part in chunks(texts := batch.column(1).to_pylist()):
+                contents = [t.encode() for t in texts[part]]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(map(len, contents), pa.int64()), pa.array([payload_to_tiff(padded(c)) for c in contents], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-def feature_of(pages: list[tuple[dict[int, tuple], np.ndarray]]) -> str:
-    """Pages, rows, compression, predictor, layout, mean sample and mean step along a row, from what was read."""
-    tags = pages[0][0]
-    rows = sum(len(p) for _, p in pages)
-    total = sum(int(p.sum(dtype=np.int64)) for _, p in pages)
-    steps = sum(int(np.abs(np.diff(p.astype(np.int16), axis=1)).sum(dtype=np.int64)) for _, p in pages)
-    return f"pages={len(pages)};rows={rows};codec={NAMES[tags[COMPRESSION][0]]};predictor={tags[PREDICTOR][0]};{'tiles' if TILE_OFFSETS in tags else 'strips'};mean={total / (rows * COLUMNS):.4f};step={steps / (rows * (COLUMNS - 1)):.4f}"
+    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).transform(ready).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Each text as TIFF media, read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and the media unless not asked for.
+def read_pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per page: doc_id, page (from 0), pages, width, height, compression, predictor, tiled, samples, error, and the columns named in ``keep``.
 
-    Defined cases: a null text is empty; an empty text is a payload of 64 bytes 0; null ids pass through;
-    repeated rows each get a row, equal texts equal values; an empty table gives no rows; other columns are ignored.
+    The pages of a medium follow each other, in their order. Defined cases: null or empty media give no rows; media that are
+    no TIFF of 8-bit samples, or are torn, give one row with an error where the walk ends (``pages`` is the number of rows);
+    repeated rows give their pages each; null ids pass through; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(texts := batch.column(1).to_pylist()):
-                rows = []
-                for text in texts[part]:
-                    content = text.encode()
-                    media = payload_to_tiff(padded(content))
-                    pages = list(pages_of(media))
-                    back = b"".join(p.tobytes() for _, p in pages)
-                    rows.append((len(content), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(pages), *[media] * with_media))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * with_media]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.binary()] * with_media]
+            rows, size = [], 0
+
+            def flush():
+                nonlocal rows, size
+                columns = zip(*rows, strict=True)
+                at = pa.array(next(columns), pa.int64())
+                carried = [batch.column(0).take(at), *(c.take(at) for c in batch.columns[2:])]
+                rows, size = [], 0
+                return pa.RecordBatch.from_arrays([carried[0], *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True)), *carried[1:]], names)
+
+            for i, cell in enumerate(batch.column(1)):
+                first, data = len(rows), cell.as_py()
+                try:
+                    for n, (tags, page) in enumerate(pages_of(data) if data else ()):
+                        rows.append([i, n, 0, page.shape[1], page.shape[0], NAMES[tags.get(COMPRESSION, (1,))[0]], tags.get(PREDICTOR, (1,))[0], TILE_OFFSETS in tags, page.tobytes(), None])
+                        size += page.size
+                except BadTiff as e:
+                    rows.append([i, len(rows) - first, 0, *[None] * 6, str(e)])
+                for row in rows[first:]:
+                    row[2] = len(rows) - first
+                if size > BATCH_BYTES:
+                    yield flush()
+            if rows:
+                yield flush()
+
+    names = ["doc_id", "page", "pages", "width", "height", "compression", "predictor", "tiled", "samples", "error", *keep]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
+    slim = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).cast("binary").alias("media"), *keep)
+    fields = [f"{c} {slim.schema[c].dataType.simpleString()}" for c in ("doc_id", *keep)]
+    return slim.transform(ready).mapInArrow(run, ", ".join([fields[0], "page int, pages int, width int, height int, compression string, predictor int, tiled boolean, samples binary, error string", *fields[1:]]))
+
+
+def feature_of(pages: list[dict]) -> str:
+    """Pages, rows, compression, predictor, layout, mean sample and mean step along a row, from rows of :func:`read_pages`."""
+    rows, first = sum(p["height"] for p in pages), pages[0]
+    samples = [np.frombuffer(p["samples"], np.uint8).reshape(p["height"], p["width"]) for p in pages]
+    total = sum(int(p.sum(dtype=np.int64)) for p in samples)
+    steps = sum(int(np.abs(np.diff(p.astype(np.int16), axis=1)).sum(dtype=np.int64)) for p in samples)
+    return f"pages={len(pages)};rows={rows};codec={first['compression']};predictor={first['predictor']};{'tiles' if first['tiled'] else 'strips'};mean={total / (rows * COLUMNS):.4f};step={steps / (rows * (COLUMNS - 1)):.4f}"
+
+
+def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text as TIFF media, read back page by page: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
+
+    :func:`write_media` and :func:`read_pages` do the work; the pages of a medium are then folded where they lie, as they follow
+    each other. The same cases are defined as for :func:`write_media`.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["error"]:
+                    raise BadTiff(row["error"])
+                held.append(row)
+                if len(held) == row["pages"]:
+                    back = b"".join(p["samples"] for p in held)
+                    out.append((row["doc_id"], row["n_bytes"], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), row["media_bytes"], row["media_sha256"], feature_of(held)))
+                    held = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field(0).type, *kinds), strict=True)], names)
+
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    media = write_media(docs, id_col, text_col)
+    media = media.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    pages = read_pages(media, keep=("n_bytes", "media_bytes", "media_sha256"))
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_media
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).transform(ready).mapInArrow(run, schema)
+    return pages.transform(ready).mapInArrow(fold, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return store_texts(table(spark, sf_dir, "documents"), with_media=False)
+    return store_texts(table(spark, sf_dir, "documents"))
