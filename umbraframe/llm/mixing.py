@@ -1,14 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of a source has the same expected number of copies, target / source size. The whole part is
-allotted with certainty. The rest, a fraction f, is the inclusion probability of one more copy: documents are
-ranked by random odds divided by inclusion odds, ``(u / (1 - u)) / (f / (1 - f))``, and taken in that order
-while their words fit what is left of the target; one more document, whose size is nearest to the gap that
-remains, closes it where that helps. Inclusion odds differ between sources, and each source's sample has a
-fixed size in words.
-
-No source is gathered into one task: words are summed by source and by one of ``BUCKETS`` equal slices of the
-random number, which finds the slice in which the target is crossed; only that slice is ordered row by row.
+A document's expected number of copies falls with its length: min(``MAX_COPIES``, c / (1 + bits of its size)), where c is such
+that its source's expected words are the source's target. So a few very long documents do not fill a source's share. The whole
+part is allotted with certainty. The rest, a fraction f that differs between the documents of a source, is the inclusion
+probability of one more copy: documents are ranked by random odds divided by inclusion odds, ``(u / (1 - u)) / (f / (1 - f))``,
+and taken in that order while their words fit what is left of the target, so each source's sample has a fixed size in words.
+What a whole document too many would miss is closed in ``ROUNDS`` rounds: each adds (or, past the target, gives back) the one
+copy whose size is nearest to the gap, where that brings the source nearer to its target.
+
+No source is gathered into one task: words are summed by source and by one of ``BUCKETS`` slices of the rank, which finds the
+slice in which the target is crossed; only that slice is ordered row by row.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ MAX_COPIES = 3
 SEED = "mix-1"
 BUCKETS = 4096
 SALTS = 32
+ROUNDS = 4
 
 
 def size_of(col: str = "text") -> Column:
@@ -61,42 +63,80 @@ def _with_source(rows: DataFrame, per_source: DataFrame) -> DataFrame:
     return salted.join(spread, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_salt_of") == F.col("_salt"))).drop("_source", "_salt", "_salt_of")
 
 
+def share_of(size: Column) -> Column:
+    """What a document's expected copies are in proportion to within its source: one part in 1 + the bits of its size."""
+    return F.lit(1.0) / (F.length(F.bin(size)) + 1)
+
+
+def expected_copies(max_copies: int) -> Column:
+    """Of a row with its source's source_size, target and level."""
+    return F.when(F.col("target") >= F.col("source_size") * max_copies, F.when(F.col("source_size") > 0, F.lit(float(max_copies))).otherwise(0.0)).otherwise(F.least(F.lit(float(max_copies)), F.col("level") * share_of(F.col("size"))))
+
+
+def source_levels(by_bits: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
+    """source, source_size, target, level (the c of the module's text) and rest, the words of the target beyond whole copies.
+
+    by_bits: source, bits, size (any of that many bits), words: a few rows a source. In the order of bits the documents
+    that reach ``max_copies`` come first, so one running sum finds the level.
+    """
+    each = by_bits.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("share", share_of(F.col("size")))
+    order = Window.partitionBy("source").orderBy("bits")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    filled = (F.col("target") - max_copies * F.coalesce(F.sum("words").over(before), F.lit(0))) / F.nullif(F.sum(F.col("share") * F.col("words")).over(after), F.lit(0.0))
+    each = each.withColumn("_level", filled)
+    level = F.min(F.when(max_copies / F.col("share") >= F.col("_level"), F.struct("bits", "_level"))).over(Window.partitionBy("source"))["_level"]
+    each = each.withColumn("level", F.coalesce(level, F.lit(float("inf"))))
+    whole = F.floor(expected_copies(max_copies)) * F.col("words")
+    return each.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("level").alias("level"), (F.first("target") - F.sum(whole)).alias("rest"))
+
+
 def plan_rows(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """Copies for rows (_row, doc_id, source, size), a table that has been written: _row, doc_id, source, size, source_size, target, copies."""
-    rows = rows.withColumn("u", random_of(F.col("doc_id"), seed)).withColumn("slice", F.floor(F.col("u") * BUCKETS).cast("int"))
-    by_slice = written(rows.groupBy("source", "slice").agg(F.sum("size").alias("words")), "mix-slices")
-    targets = source_targets(by_slice.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies)
-    expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("whole", F.floor(expected)).withColumn("f", expected - F.col("whole")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    by_bits = written(rows.groupBy("source", F.length(F.bin("size")).alias("bits")).agg(F.max("size").alias("size"), F.sum("size").alias("words")), "mix-bits")
+    targets = source_targets(by_bits.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_copies)
+    targets = written(source_levels(by_bits, targets, max_copies), "mix-targets")
+    ranked = _with_source(rows.withColumn("u", random_of(F.col("doc_id"), seed)), targets)
+    ranked = ranked.withColumn("_expected", expected_copies(max_copies)).withColumn("whole", F.floor("_expected")).withColumn("f", F.col("_expected") - F.col("whole")).drop("_expected", "level")
+    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
+    ranked = ranked.withColumn("rank", F.when(F.col("f") > 0, odds)).withColumn("slice", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
+    ranked = written(ranked.drop("u"), "mix-ranked")
     up_to = Window.partitionBy("source").orderBy("slice")
     crossed = (
-        by_slice.withColumn("upto", F.sum("words").over(up_to))
-        .join(targets.select(F.col("source").alias("_s"), "rest"), F.col("source").eqNullSafe(F.col("_s")))
+        ranked.filter("f > 0").groupBy("source", "slice").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        .withColumn("upto", F.sum("words").over(up_to))
         .filter("upto > rest")
         .groupBy("source")
         .agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
-        .select(F.col("source").alias("_c"), F.col("x.slice").alias("cross"), F.col("x.before").alias("before"))
+        .select("source", F.col("x.slice").alias("cross"), F.col("x.before").alias("before"))
     )
-    targets = written(targets.join(crossed, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c").withColumn("cross", F.coalesce("cross", F.lit(BUCKETS))).withColumn("before", F.coalesce("before", F.lit(0))), "mix-targets")
-    all_rows = _with_source(rows, targets)
-    odds = (F.col("u") / (1 - F.col("u"))) / (F.col("f") / (1 - F.col("f")))
-    all_rows = all_rows.withColumn("rank", F.when(F.col("f") > 0, odds))
+    edges = targets.select("source").join(crossed.withColumnRenamed("source", "_c"), F.col("source").eqNullSafe(F.col("_c")), "left")
+    edges = edges.select("source", F.coalesce("cross", F.lit(BUCKETS + 1)).alias("cross"), F.coalesce("before", F.lit(0)).alias("before"))
+    marked = _with_source(ranked, written(edges, "mix-edges"))
     tied = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = all_rows.filter("f > 0 AND slice = cross").withColumn("_upto", F.col("before") + F.sum("size").over(tied)).filter("_upto <= rest").select(F.col("_row").alias("_in"))
-    marked = all_rows.join(edge, F.col("_row") == F.col("_in"), "left").withColumn("extra", F.when((F.col("f") > 0) & ((F.col("slice") < F.col("cross")) | F.col("_in").isNotNull()), 1).otherwise(0)).drop("_in")
-    marked = written(marked, "mix-marked")
+    edge = marked.filter("f > 0 AND slice = cross").withColumn("_upto", F.col("before") + F.sum("size").over(tied)).filter("_upto <= rest").select(F.col("_row").alias("_in"))
+    marked = marked.join(edge, F.col("_row") == F.col("_in"), "left").withColumn("extra", F.when((F.col("f") > 0) & ((F.col("slice") < F.col("cross")) | F.col("_in").isNotNull()), 1).otherwise(0))
+    marked = written(marked.drop("_in", "cross", "before", "slice"), "mix-marked")
+    # The one copy that best closes what is left: a minimum by source, combined before the shuffle. One row a source and round.
     gaps = marked.groupBy("source").agg((F.first("rest") - F.sum(F.col("extra") * F.col("size"))).alias("gap"))
-    # The one document that best closes what is left: a minimum by source, combined before the shuffle.
-    apart = F.abs(F.col("size") - F.col("gap"))
-    closing = (
-        _with_source(marked.filter("extra = 0 AND f > 0 AND size > 0"), gaps)
-        .filter(apart < F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct(apart, "rank", "doc_id", "_row")).alias("x"))
-        .select(F.col("x._row").alias("_closes"))
-    )
-    copies = F.col("whole") + F.col("extra") + F.when(F.col("_closes").isNotNull(), 1).otherwise(0)
-    return marked.join(closing, F.col("_row") == F.col("_closes"), "left").select("_row", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
+    closing = None
+    for _ in range(ROUNDS):
+        gaps = written(gaps, "mix-gaps")
+        free = marked.filter("f > 0 AND size > 0")
+        if closing is not None:
+            free = free.join(closing.select(F.col("_closes")), F.col("_row") == F.col("_closes"), "left_anti")
+        apart, far = F.abs(F.col("size") - F.abs("gap")), F.abs("gap")
+        best = (
+            _with_source(free, gaps)
+            .filter((apart < far) & (F.col("extra") == F.when(F.col("gap") > 0, 0).otherwise(1)))
+            .groupBy("source")
+            .agg(F.min(F.struct(apart.alias("apart"), "rank", "doc_id", "_row", "size", F.signum("gap").alias("by"))).alias("x"))
+            .select("source", F.col("x._row").alias("_closes"), F.col("x.size").alias("_size"), F.col("x.by").cast("int").alias("_by"))
+        )
+        best = written(best, "mix-closing")
+        closing = best if closing is None else closing.unionByName(best)
+        gaps = gaps.join(best.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", (F.col("gap") - F.coalesce(F.col("_by") * F.col("_size"), F.lit(0))).alias("gap"))
+    copies = F.col("whole") + F.col("extra") + F.coalesce("_by", F.lit(0))
+    return marked.join(closing.select("_closes", "_by"), F.col("_row") == F.col("_closes"), "left").select("_row", "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -123,7 +163,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
-SQL = r"""
+_START = r"""
 WITH d AS (
   SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, source,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -139,25 +179,41 @@ WITH d AS (
   FROM c
 ), t AS (
   SELECT source, source_size, least(cap, weight * (SELECT arg_min(level, cap / weight) FROM l WHERE cap / weight >= level)) AS target FROM l
+), n AS (
+  SELECT source, length(bin(size)) AS bits, CAST(sum(size) AS DOUBLE) AS words, 1.0::DOUBLE / (1 + length(bin(size))) AS share FROM d GROUP BY source, bits
+), o AS (
+  SELECT n.*, t.source_size, t.target,
+         (t.target - 3 * coalesce(sum(words) OVER (PARTITION BY n.source ORDER BY bits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / nullif(sum(share * words) OVER (PARTITION BY n.source ORDER BY bits ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS filled
+  FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+), q AS (
+  SELECT source, any_value(source_size) AS source_size, any_value(target) AS target,
+         coalesce(arg_min(filled, bits) FILTER (WHERE 3 / share >= filled), 'inf'::DOUBLE) AS level FROM o GROUP BY source
 ), e AS (
-  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS expected FROM t
+  SELECT o.*, q.level, CASE WHEN o.target >= 3 * o.source_size THEN CASE WHEN o.source_size > 0 THEN 3.0::DOUBLE ELSE 0 END ELSE least(3.0::DOUBLE, q.level * share) END AS expected
+  FROM o JOIN q ON o.source IS NOT DISTINCT FROM q.source
 ), f AS (
-  SELECT *, floor(expected) AS whole, expected - floor(expected) AS f, target - floor(expected) * source_size AS rest FROM e
+  SELECT source, bits, source_size, target, floor(expected) AS whole, expected - floor(expected) AS f, target - sum(floor(expected) * words) OVER (PARTITION BY source) AS rest FROM e
 ), a AS (
   SELECT d.*, f.source_size, f.target, f.whole, f.f, f.rest, CASE WHEN f.f > 0 THEN (d.u / (1 - d.u)) / (f.f / (1 - f.f)) END AS rank
-  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source
-), m AS (
-  SELECT *, CASE WHEN f > 0 AND sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size, r ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS extra FROM a
-), g AS (
-  SELECT source, any_value(rest) - sum(extra * size) AS gap FROM m GROUP BY source
-), x AS (
-  SELECT r FROM (
-    SELECT m.r, row_number() OVER (PARTITION BY m.source ORDER BY abs(m.size - g.gap), m.rank, m.doc_id, m.r) AS n
-    FROM m JOIN g ON m.source IS NOT DISTINCT FROM g.source
-    WHERE m.extra = 0 AND m.f > 0 AND m.size > 0 AND abs(m.size - g.gap) < g.gap
+  FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND length(bin(d.size)) = f.bits
+), m0 AS (
+  SELECT *, CASE WHEN f > 0 AND sum(CASE WHEN f > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size, r ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS extra,
+         0 AS more FROM a
+)"""
+#: One round of closing: the copy to add to or to take from each source.
+_ROUND = """, g{k} AS (
+  SELECT source, any_value(rest) - sum((extra + more) * size) AS gap FROM m{j} GROUP BY source
+), x{k} AS (
+  SELECT r, gap FROM (
+    SELECT m.r, g.gap, row_number() OVER (PARTITION BY m.source ORDER BY abs(m.size - abs(g.gap)), m.rank, m.doc_id, m.r) AS n
+    FROM m{j} m JOIN g{k} g ON m.source IS NOT DISTINCT FROM g.source
+    WHERE m.more = 0 AND m.extra = CASE WHEN g.gap > 0 THEN 0 ELSE 1 END AND m.f > 0 AND m.size > 0 AND abs(m.size - abs(g.gap)) < abs(g.gap)
   ) WHERE n = 1
-)
-SELECT m.doc_id, m.size, m.source_size, m.target, CAST((m.whole + m.extra + CASE WHEN x.r IS NULL THEN 0 ELSE 1 END) AS INTEGER) AS copies,
-       CAST((m.whole + m.extra + CASE WHEN x.r IS NULL THEN 0 ELSE 1 END) AS BIGINT) * m.size AS taken, m.source
-FROM m LEFT JOIN x USING (r)
+), m{k} AS (
+  SELECT m.* EXCLUDE (more), more + coalesce(CAST(sign(x.gap) AS INTEGER), 0) AS more FROM m{j} m LEFT JOIN x{k} x USING (r)
+)"""
+_END = f"""
+SELECT doc_id, size, source_size, target, CAST(whole + extra + more AS INTEGER) AS copies, CAST(whole + extra + more AS BIGINT) * size AS taken, source FROM m{ROUNDS}
 """
+SQL = _START + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, ROUNDS + 1)) + _END
