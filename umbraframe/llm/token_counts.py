@@ -30,6 +30,26 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
+def distinct_misses(keyed: DataFrame, slim: DataFrame, stored: DataFrame, salts: int = 16) -> DataFrame:
+    """(content, text), one row for each distinct content that ``stored`` lacks.
+
+    keyed: doc_id, text, content; slim: doc_id, content of the same rows, written. Of a content's rows the one with the smallest
+    id stands for it, so only that row's text is shuffled. Where this row itself repeats (same id, same content), the join's
+    skewed partitions are split by the planner, and its copies are then combined under salts: no task gathers them all.
+    """
+    each = slim.groupBy("content", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    chosen = each.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "n")).alias("one")).join(stored, "content", "left_anti")
+    chosen = written(chosen.select(F.col("content").alias("_content"), F.col("one.doc_id").alias("_one"), F.col("one.n").alias("_n")), "count-chosen")
+    # As many rows as contents: these joins are merges at every size. Id and content together: no hot content meets in one task.
+    of = lambda some: keyed.join(some.hint("merge"), (F.col("content") == F.col("_content")) & F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
+    single = of(chosen.filter("_n = 1")).select("content", "text")
+    if not chosen.filter("_n > 1").head(1):
+        return single
+    again = of(chosen.filter("_n > 1")).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    again = again.groupBy("content", "_salt").agg(F.first("text").alias("text")).groupBy("content").agg(F.first("text").alias("text"))
+    return single.unionByName(again)
+
+
 def count_tokens(docs: DataFrame, cache_dir: str, path: str, kind: str = "byte", limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_tokens, over_limit. Appends what missed to the cache.
 
@@ -41,11 +61,6 @@ def count_tokens(docs: DataFrame, cache_dir: str, path: str, kind: str = "byte",
     slim = written(keyed.select("doc_id", "content", F.octet_length("text").cast("long").alias("n_bytes")), "count-digests")
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_dir)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).filter(F.col("tokenizer") == version)
-    # Each distinct content is counted once: the id of one of its rows, combined before the shuffle.
-    chosen = slim.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("one")).join(stored, "content", "left_anti")
-    chosen = chosen.select(F.col("content").alias("_content"), F.col("one.doc_id").alias("_one"))
-    # Id and content together: no text is so frequent that its rows meet in one task.
-    missing = keyed.join(chosen, (F.col("content") == F.col("_content")) & F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = library_tokenizer(path, kind)
@@ -53,8 +68,9 @@ def count_tokens(docs: DataFrame, cache_dir: str, path: str, kind: str = "byte",
             counts = tokenizer.counts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["content", "n_tokens"])
 
-    counted = missing.select("content", "text").transform(ready).mapInArrow(run, "content binary, n_tokens long")
-    counted.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)
+    counted = distinct_misses(keyed, slim, stored).transform(ready).mapInArrow(run, "content binary, n_tokens long")
+    counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)
+    # Two runs that append at once may store a content twice.
     known = spark.read.schema(CACHE_SCHEMA).parquet(cache_dir).filter(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     return spread_join(slim, known).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
