@@ -92,6 +92,80 @@ def test_mixing(docs, rows):
     assert mixing.mix_plan(docs.limit(0)).count() == 0
 
 
+def test_only_distinct_misses_are_encoded(spark, tmp_path):
+    """One row goes to the tokenizer for each content that the cache lacks, however often its row, or a null id, repeats."""
+    table = spark.createDataFrame([(1, "a b"), (1, "a b"), (2, "a b"), (None, "c"), (None, "c"), (3, "d"), (4, None), (None, ""), (-5, "e")] + [(7, "hot row")] * 50, "doc_id long, text string")
+    keyed = table.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("content", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    none = spark.createDataFrame([], token_counts.CACHE_SCHEMA)
+    got = sorted(r.text for r in token_counts.distinct_misses(keyed, keyed.select("doc_id", "content"), none).collect())
+    assert got == ["", "a b", "c", "d", "e", "hot row"]
+    cache, path = str(tmp_path / "cache"), bpe_transducer.tokenizer_path()
+    token_counts.count_tokens(table.filter("doc_id < 3"), cache, path).collect()
+    stored = spark.read.parquet(cache)
+    got = sorted(r.text for r in token_counts.distinct_misses(keyed, keyed.select("doc_id", "content"), stored).collect())
+    assert got == ["", "c", "d", "hot row"] and stored.count() == 2
+    assert token_counts.count_tokens(table, cache, path).count() == 59 and spark.read.parquet(cache).count() == 6
+
+
+def test_store_of_signed_repeated_and_null_ids(spark, tmp_path):
+    """Documents are found by id; long unbroken words, one row repeated very often and ids of any sign come back whole."""
+    from tokenizers import Tokenizer
+
+    words = bpe_transducer.tokenizer_path("word_bpe_49k.json")
+    library = Tokenizer.from_file(words)
+    table = [(-7, "minus seven"), (-1, "minus one"), (2**63 - 1, "last"), (0, "zero"), (None, "none"), (None, None), (5, "x" * 30_000), (6, "ab " * 9_000)] + [(9, "hot row")] * 300 + [(9, f"hot id {i}") for i in range(50)]
+    out = str(tmp_path / "store")
+    token_store.write_store(spark.createDataFrame(table, "doc_id long, text string"), out, words, partitions=6)
+    ids = lambda t: [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    back = sorted(token_store.read_store(spark, out).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == sorted((i for i, _ in table), key=key)
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    assert sorted((key(r.doc_id), r.ids_crc32) for r in back) == sorted((key(i), crc(ids(t))) for i, t in table)
+    for i, t in table[:8]:
+        if i is not None:
+            assert [x.tolist() for x in token_store.read_document(spark, out, i)] == [ids(t)]
+    assert len(token_store.read_document(spark, out, 9)) == 350 and token_store.read_document(spark, out, 8) == []
+    assert max(r.n_docs for r in spark.read.parquet(f"{out}/blocks").collect()) < 300
+    assert token_store.id_width(words, 2) == 2 and token_store.id_width(words, 1 << 16) == 4
+    assert token_store.trained([b"few bytes"]) == b"few bytes" and token_store.Frames(b"few bytes").decompress(token_store.Frames(b"few bytes").compress(np.arange(9), 2), 2).tolist() == list(range(9))
+
+
+def pareto_by_hand(rows, odds=lambda u, f: (u / (1 - u)) / (f / (1 - f))):
+    """Copies of (doc_id, size) of one source whose target is 0.7 of its words, without the closing rounds."""
+    share = {i: 1 / (1 + len(f"{n:b}")) for i, n in rows}
+    target = 0.7 * sum(n for _, n in rows)
+    level = target / sum(share[i] * n for i, n in rows)
+    assert level * max(share.values()) < 3
+    whole = {i: int(level * share[i]) for i, _ in rows}
+    f = {i: level * share[i] - whole[i] for i, _ in rows}
+    u = {i: (int(hashlib.md5(f"mix-1:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i, _ in rows}
+    rest, out = target - sum(whole[i] * n for i, n in rows), dict(whole)
+    for i, n in sorted(rows, key=lambda r: odds(u[r[0]], f[r[0]])):
+        if n > rest:
+            break
+        out[i], rest = out[i] + 1, rest - n
+    return out
+
+
+def test_pareto_ranks_by_unequal_odds(spark):
+    """The ranking divides by each document's own inclusion odds: with equal odds other documents would be taken."""
+    rng = random.Random(8)
+    rows = [(i, int(2 ** rng.uniform(4, 12))) for i in range(400)]
+    slim = spark.createDataFrame([(i, i, "a", n) for i, n in rows] + [(1000 + i, 1000 + i, "b", 997) for i in range(60)], "_row long, doc_id long, source string, size long").cache()
+    words = {"a": sum(n for _, n in rows), "b": 60 * 997}
+    weight = 0.7 * words["a"] / (sum(words.values()) - 0.7 * words["a"])
+    got = {r.doc_id: r for r in mixing.plan_rows(slim, weights=(weight, 1)).collect()}
+    assert got[0].target == pytest.approx(0.7 * words["a"])
+    want = pareto_by_hand(rows)
+    changed = [i for i, _ in rows if got[i].copies != want[i]]
+    assert len(changed) <= mixing.ROUNDS  # the closing rounds
+    equal = pareto_by_hand(rows, odds=lambda u, f: u)
+    assert sum(equal[i] != want[i] for i, _ in rows) > 20
+    for source in "ab":
+        mine = [r for r in got.values() if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= (1 if source == "a" else 499)
+
+
 def spans_of(t, patterns):
     out = []
     for order, (kind, pattern, keep) in enumerate(patterns):
