@@ -1,15 +1,18 @@
 """MinHash near-dedup by improved consistent weighted sampling over TF-IDF shingles.
 
 1. One pass hashes the words of every document, digests their sequence (copies share it) and counts in how many
-   documents each hashed shingle of five words stands: ``BUCKETS`` counters whatever the input's size.
-2. Of the documents of one digest, that of the smallest id represents them. Its shingles weigh
+   documents each hashed shingle of five words stands, in a count-min sketch of two rows of ``BUCKETS`` counters.
+   What a sketch counts too much is a share of the documents that does not grow with their number, so document frequencies are
+   exact enough above ``FLOOR`` of the documents, and shingles below it all have that frequency's idf: at any size frequent
+   passages are discounted and rare ones are alike.
+2. The documents of one digest are a node; that of the smallest id (of null ids only: any) represents it. Its shingles weigh
    tf x min(1, idf / (SLACK x median idf of its own shingles)), idf = ln(1 + N / df): a passage that is far more common than the
    document's own text counts little, while a large group of near copies does not discount the text it shares.
 3. Improved consistent weighted sampling takes ``BANDS * ROWS`` samples (shingle, quantised weight); the samples of
    each band are hashed to a key. Documents of one key are candidates.
 4. In keys of up to ``SMALL`` documents all pairs are compared. A larger key is ordered by the keys of its documents'
    following bands, so that those that agree in most bands lie side by side; each is compared with the one before it and
-   with the smallest id, once in each of its keys: a forest of ``BANDS`` orders, linear in the size of a group.
+   with the smallest node, once in each of its keys: a forest of ``BANDS`` orders, linear in the size of a group.
    Pairs of at least ``SIMILARITY`` weighted Jaccard, over whole texts, are links.
 5. In larger keys that still hold several classes, all pairs of different classes are compared, in blocks of texts against
    blocks of texts, so that no link between documents of one key is lost at any size. Only the key's largest class is not
@@ -19,13 +22,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbraframe.llm.common import ready, table, whole_text, written
@@ -39,9 +41,11 @@ SLACK = 0.8
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
 SEGMENTS = 64
+#: The least share of the documents that a document frequency counts as; at least OVER times what the sketch counts too much.
+FLOOR, OVER = 1 / 128, 4
 SMALL = 12
 #: Documents, and characters, that a block of an exact comparison holds on average.
-BLOCK_ROWS, BLOCK_CHARS = 1_000, 8_000_000
+BLOCK_ROWS, BLOCK_CHARS = 1_000, 4_000_000
 SALTS = 16
 
 _U = np.uint64
@@ -112,12 +116,24 @@ def digest(words: np.ndarray) -> bytes:
     return np.array([a, b], _U).tobytes()
 
 
+def buckets(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each shingle's counter in either row of the sketch."""
+    return (s >> _U(64 - BUCKET_BITS)).astype(np.int64), (s >> _U(64 - 2 * BUCKET_BITS) & _U(BUCKETS - 1)).astype(np.int64)
+
+
+def idf_table(df: np.ndarray, n: int) -> np.ndarray:
+    """idf by row and counter; a shingle's is the greater of its two, as its document frequency is at most either count."""
+    share = max(FLOOR, OVER * float(df[0].sum()) / BUCKETS / max(n, 1))
+    return np.log1p(n / np.maximum(df, max(share * n, 1e-9))).astype(np.float32)
+
+
 def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingles in order, their weights)."""
     s, tf = np.unique(shingles(word_hashes(text)), return_counts=True)
     if not len(s):
         return s, np.zeros(0)
-    x = idf[(s >> _U(64 - BUCKET_BITS)).astype(np.int64)]
+    i, j = buckets(s)
+    x = np.maximum(idf[0][i], idf[1][j])
     return s, tf * np.minimum(1.0, x / (SLACK * np.median(x)))
 
 
@@ -186,74 +202,95 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 # ---- stages
 
 
+def text_mark(text: Column) -> Column:
+    """128 bits of a text: with the id they name a row, whatever repeats or is null."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(whole_text(text_col)).alias("mark"), whole_text(text_col).alias("text"))
 
 
 def digests_and_frequencies(slim: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """(doc_id, digest) of every row; the idf of every bucket; the number of rows."""
+    """(doc_id, mark, digest) of every row; the idf of every counter; the number of rows."""
+    segment = 2 * BUCKETS // SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS, np.int32), 0
+        df, n = np.zeros((2, BUCKETS), np.int32), 0
         for batch in batches:
             out = []
-            for part in chunks(texts := batch.column(1).to_pylist()):
+            for part in chunks(texts := batch.column(2).to_pylist()):
                 held = []
                 for text in texts[part]:
                     words = word_hashes(text)
                     out.append(digest(words))
-                    held.append(np.unique((shingles(words) >> _U(64 - BUCKET_BITS)).astype(np.int32)))
-                df += np.bincount(np.concatenate(held), minlength=BUCKETS).astype(np.int32)
+                    held.append(np.unique(shingles(words)))
+                for row, at in zip(df, buckets(np.concatenate(held)), strict=True):
+                    row += np.bincount(at, minlength=BUCKETS).astype(np.int32)
             n += len(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary()), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary())], names)
         if n:
-            parts = [(-1, np.array([n], np.int64)), *enumerate(np.split(df, SEGMENTS))]
-            cells = [p.astype(np.int64).tobytes() for _, p in parts]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array([i for i, _ in parts], pa.int32()), pa.array(cells, pa.binary())], names)
+            parts = [(-1, np.array([n], np.int64)), *enumerate(np.split(df.reshape(-1), SEGMENTS))]
+            none = [pa.nulls(len(parts), t) for t in (pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i for i, _ in parts], pa.int32()), pa.array([p.tobytes() for _, p in parts], pa.binary())], names)
 
-    names = ["doc_id", "digest", "segment", "counts"]
-    both = written(slim.transform(ready).mapInArrow(run, "doc_id long, digest binary, segment int, counts binary"), "near-digests")
+    names = ["doc_id", "mark", "digest", "segment", "counts"]
+    both = written(slim.transform(ready).mapInArrow(run, "doc_id long, mark binary, digest binary, segment int, counts binary"), "near-digests")
 
     def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c.as_py(), np.int64) for c in rows.column("counts"))
+        total = sum(np.frombuffer(c, np.int32 if len(c) == 4 * segment else np.int64).astype(np.int64) for c in rows.column("counts").to_pylist())
         return pa.table({"segment": pa.array([rows.column("segment")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    # Two steps, so that no task adds up what all tasks have counted. The sums are BUCKETS numbers at any size.
+    # Two steps, so that no task adds up what all tasks have counted. The sums are 2 x BUCKETS numbers at any size.
     counts = both.filter("segment IS NOT NULL").select("segment", "counts", (F.spark_partition_id() % 32).alias("deal"))
     once = counts.groupBy("segment", "deal").applyInArrow(add, "segment int, counts binary")
     sums = {r.segment: np.frombuffer(bytes(r.counts), np.int64) for r in once.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()}
     n = int(sums[-1][0]) if sums else 0
-    df = np.concatenate([sums[i] for i in range(SEGMENTS)]) if sums else np.zeros(BUCKETS, np.int64)
-    return both.filter("segment IS NULL").select("doc_id", "digest"), np.log1p(n / np.maximum(df, 1)).astype(np.float32), n
+    df = np.concatenate([sums[i] for i in range(SEGMENTS)]).reshape(2, BUCKETS) if sums else np.zeros((2, BUCKETS), np.int64)
+    return both.filter("segment IS NULL").select("doc_id", "mark", "digest"), idf_table(df, n), n
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """One row a digest: digest, node (a number), rep_id and rep_mark (the row that represents it), n_same (rows equal to that), n_copies."""
+    each = rows.groupBy("digest", "doc_id", "mark").agg(F.count(F.lit(1)).alias("n_same"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "n_same")).alias("one")
+    found = each.groupBy("digest").agg(one, F.sum("n_same").alias("n_copies"))
+    return written(found.select("digest", F.monotonically_increasing_id().alias("node"), F.col("one.doc_id").alias("rep_id"), F.col("one.mark").alias("rep_mark"), F.col("one.n_same").alias("n_same"), "n_copies"), "near-copies")
+
+
+def of_nodes(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """(node, columns) of the row (doc_id, mark) that represents each node, once where it repeats."""
+    reps = nodes.select("node", "n_same", F.col("rep_id").alias("_rep"), F.col("rep_mark").alias("_mark"))
+    found = rows.join(reps, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", *columns)
+    return found.dropDuplicates(["node"]) if nodes.filter("n_same > 1").head(1) else found
 
 
 def keys_of(slim: DataFrame, idf) -> DataFrame:
-    """(doc_id, keys), the bands' keys of each row of (doc_id, text) where it lies; none for documents without words."""
+    """(doc_id, mark, keys), the bands' keys of each row of (doc_id, mark, text) where it lies; none for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table_, recent = Sampler(), idf.value, OrderedDict()
         for batch in batches:
-            docs, keys = [], []
-            for doc, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = cell.as_py()
-                same = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            at, keys = [], []
+            for i, (same, cell) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 if same not in recent:
-                    s, w = weighted(text, table_)
+                    s, w = weighted(cell.as_py(), table_)
                     recent[same] = band_keys(sampler(s, w)).view(np.int64).tolist() if len(s) else None
                     if len(recent) > 4_096:
                         recent.popitem(last=False)
                 if recent[same]:
-                    docs.append(doc)
+                    at.append(i)
                     keys.append(recent[same])
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
+            if at:
+                held = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(held), batch.column(1).take(held), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "mark", "keys"])
 
-    return slim.transform(ready).mapInArrow(run, "doc_id long, keys array<long>")
+    return slim.transform(ready).mapInArrow(run, "doc_id long, mark binary, keys array<long>")
 
 
 def rows_of_keys(keyed: DataFrame) -> DataFrame:
     """(key, then, last, rep) of each band of each row, with the keys of the two bands that follow."""
-    at = keyed.select(F.col("doc_id").alias("rep"), "keys", F.posexplode("keys").alias("i", "key"))
+    at = keyed.select(F.col("node").alias("rep"), "keys", F.posexplode("keys").alias("i", "key"))
     following = (F.expr(f"keys[pmod(i + {k}, {BANDS})]").alias(name) for k, name in ((1, "then"), (2, "last")))
     return at.select("key", *following, "rep")
 
@@ -271,10 +308,11 @@ def first_pairs(keys: DataFrame, sizes: DataFrame) -> DataFrame:
     return spread.unionByName(star).unionByName(chain).distinct()
 
 
-def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents of pairs."""
-    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct().hint("merge")
-    return texts.join(needed, F.col("doc_id") == F.col("_id"), "left_semi")
+def texts_of(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of pairs."""
+    needed = pairs.select(F.col("a").alias("_id")).union(pairs.select(F.col("b").alias("_id"))).distinct()
+    held = written(nodes.join(needed, F.col("node") == F.col("_id"), "left_semi"), "near-needed")
+    return of_nodes(texts, held.hint("merge"), "text")
 
 
 def links_of(pairs: DataFrame, some: DataFrame, idf, similarity: float) -> DataFrame:
@@ -282,8 +320,8 @@ def links_of(pairs: DataFrame, some: DataFrame, idf, similarity: float) -> DataF
 
     The ids and texts of candidates grow with the input: these joins are merges at every size, never broadcasts.
     """
-    left = some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    left = some.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    right = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, recent = idf.value, OrderedDict()
@@ -367,7 +405,7 @@ def more_links(keys: DataFrame, sizes: DataFrame, labels: DataFrame, some: DataF
     most = held.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.max_by("label", F.struct("n", "label")).alias("_most"))
     held = written(held.join(most.filter("classes > 1").drop("classes"), "key").withColumn("rest", (F.col("label") != F.col("_most")).cast("int")).drop("_most"), "near-open")
     docs = held.groupBy("rep").agg(F.collect_list("key").alias("keys"))
-    texts = written(some.join(docs.hint("merge"), F.col("doc_id") == F.col("rep"), "inner").select("rep", "keys", "text"), "near-open-texts")
+    texts = written(some.join(docs.hint("merge"), F.col("node") == F.col("rep"), "inner").select("rep", "keys", "text"), "near-open-texts")
     held = held.join(texts.select("rep", F.length("text").alias("_chars")).hint("merge"), "rep")
     blocks = lambda rest: F.ceil(F.greatest(F.sum((F.col("rest") == rest).cast("int")) / BLOCK_ROWS, F.sum(F.when(F.col("rest") == rest, F.col("_chars")).otherwise(0)) / BLOCK_CHARS, F.lit(1)))
     dealt = held.drop("_chars").join(held.groupBy("key").agg(blocks(0).alias("_n0"), blocks(1).alias("_n1")), "key")
@@ -387,48 +425,54 @@ def more_links(keys: DataFrame, sizes: DataFrame, labels: DataFrame, some: DataF
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: doc_id, class_id (the smallest id of its class), rep_id (of its exact copies), class_size, kept.
+    """One row per input row: doc_id, class_id (the smallest id of its class), rep_id (of its exact copies), class_size, kept, class_key, mark.
 
-    Defined cases: a null text is empty; documents without words are one class; texts of fewer than five words
-    are one shingle; rows with a null id join the class of their copies and are never kept where one with an id is (a class of
-    null ids only is kept as it is); repeated rows count each; an empty table gives no rows; other columns are ignored.
+    class_key numbers the classes of one call. Of a class the rows of the smallest id are kept, of several texts with that id those
+    of one. Defined cases: a null text is empty; documents without words are one class; texts of fewer than five words
+    are one shingle; rows with a null id are classed by their texts and never kept where one with an id is; a class of
+    null ids only has a null class_id and a class_key of its own, and one of its texts is kept; an id that repeats with different texts
+    stands for each of them; repeated rows count each; an empty table gives no rows; other columns are ignored.
     """
     spark, slim = docs.sparkSession, _slim(docs, id_col, text_col)
     rows, idf, _ = digests_and_frequencies(slim)
-    shared = spark.sparkContext.broadcast(idf)  # BUCKETS numbers
-    copies = written(rows.groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_copies")), "near-copies")
-    reps = copies.filter("rep_id IS NOT NULL").select(F.col("rep_id").alias("_rep"))
+    shared = spark.sparkContext.broadcast(idf)  # 2 x BUCKETS numbers
+    nodes = nodes_of(rows)
     # Every row's keys are taken where its text lies, and those of copies dropped after: no text is shuffled for them.
-    keyed = written(keys_of(slim, shared), "near-keyed").join(reps, F.col("doc_id") == F.col("_rep"), "left_semi")
-    keys = rows_of_keys(keyed)
+    keys = rows_of_keys(of_nodes(written(keys_of(slim, shared), "near-keyed"), nodes, "keys"))
     sizes = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("center"), F.max("rep").alias("_high")).filter("center <> _high").drop("_high"), "near-sizes")
     keys = written(keys.join(sizes.select("key"), "key", "left_semi"), "near-held")
     pairs = written(first_pairs(keys, sizes), "near-pairs")
-    some = written(texts_of(pairs, slim), "near-texts")
+    some = written(texts_of(pairs, nodes, slim), "near-texts")
     links = written(links_of(pairs, some, shared, similarity), "near-links")
     labels = components(links)
     # Each document of a large key has a pair, so its text is among those of pairs.
     more = written(more_links(keys, sizes, labels, some, shared, similarity), "near-more")
     if more.head(1):
         labels = components(links.unionByName(more))
-    classes = copies.join(labels, F.col("rep_id") == F.col("id"), "left").select("digest", "rep_id", "n_copies", F.coalesce("label", "rep_id").alias("class_id"))
+    classes = nodes.join(labels, F.col("node") == F.col("id"), "left").select("digest", "rep_id", "rep_mark", "n_copies", F.coalesce("label", "node").alias("class_key"))
     classes = written(classes, "near-classes")
-    total = classes.groupBy("class_id").agg(F.sum("n_copies").alias("class_size"))
+    first = F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_mark")).alias("first")
+    total = classes.groupBy("class_key").agg(F.sum("n_copies").alias("class_size"), first).withColumnRenamed("class_key", "_class")
+    classes = classes.join(total, F.col("class_key") == F.col("_class")).select("digest", "rep_id", "class_key", "class_size", F.col("first.rep_id").alias("class_id"), F.col("first.rep_mark").alias("_kept_mark"))
     # One digest may hold a third of the rows: both sides are salted.
-    salted = classes.join(total.withColumnRenamed("class_id", "_class"), F.col("class_id").eqNullSafe(F.col("_class"))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    salted = classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return (
-        rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
+        rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
         .join(salted, ["digest", "_salt"])
-        .select("doc_id", "class_id", "rep_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+        .select("doc_id", "class_id", "rep_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("mark") == F.col("_kept_mark"))).alias("kept"), "class_key", "mark")
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class, with all its columns; of repeated rows of it one stays."""
-    kept = written(near_classes(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("_keep")).agg(F.count(F.lit(1)).alias("_rows")), "near-kept")
-    out = docs.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    return out.dropDuplicates([id_col]) if kept.filter("_rows > 1").head(1) else out
+    kept = near_classes(docs, id_col, text_col).filter("kept").groupBy(F.col("doc_id").alias("_keep"), F.col("mark").alias("_keep_mark")).agg(F.count(F.lit(1)).alias("_rows"))
+    kept = written(kept, "near-kept")
+    marked = docs.withColumn("_mark_of", text_mark(whole_text(text_col)))
+    out = marked.join(kept.hint("merge"), F.col(id_col).cast("long").eqNullSafe(F.col("_keep")) & (F.col("_mark_of") == F.col("_keep_mark")), "left_semi")
+    if kept.filter("_rows > 1").head(1):  # only then is there a row to drop, and a second shuffle worth it
+        out = out.dropDuplicates([id_col, "_mark_of"])
+    return out.drop("_mark_of")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents"))
+    return near_classes(table(spark, sf_dir, "documents")).drop("mark")
