@@ -4,18 +4,19 @@ The protected entities are the values that the patterns find. A term (three or m
 e-mail addresses) co-occurs with each entity of its document, wherever they stand. Over the whole corpus,
 
 * n(t, e): documents that hold t and e, of at least ``SUPPORT`` different texts,
-* n(t): documents that hold t, n(e): documents that hold e, N: all documents,
+* n(t): documents that hold t, n(e): documents that hold e, N: all documents (every row is a document in all four),
 * disclosure of e by t: P(e | t) = n(t, e) / n(t), and the information log2(P(e | t) / P(e)) in bits.
 
 A term of at least ``BITS`` bits and P(e | t) of at least ``GENERALISE`` is generalised, from ``REMOVE`` on
-removed, wherever it stands, beside the patterns' own spans. Only DataFrame operations. The corpus-wide
-counts explode a document's distinct words beside a table of candidate terms: broadcast while its counted
-rows are within ``BROADCAST_ROWS``, joined by a pre-aggregated shuffle beyond.
+removed, wherever it stands, beside the patterns' own spans. Only DataFrame operations. The patterns run once over each text; what
+they find is written, with the texts that hold an entity. Terms are gathered from those, and only terms that can still pass
+are counted corpus-wide: beside a broadcast table of them while it is within ``BROADCAST_ROWS`` and ``BROADCAST_BYTES``,
+beyond that from counts of all words that are combined before their shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraframe.llm.common import joined_spans, kind_spans, matches, table, whole_text, written
@@ -34,7 +35,7 @@ SUPPORT = 3
 BITS = 4.0
 GENERALISE = 0.5
 REMOVE = 0.9
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16_000_000
 SALTS = 32
 KINDS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "cut": ""}
 
@@ -63,22 +64,28 @@ def small_ip(value: Column) -> Column:
 def base_spans(text: Column) -> dict[str, Column]:
     """kind -> array<struct<start,end,value>> by the fixed patterns, in the order of kinds."""
     n = lambda m: F.length(digits(m["value"]))
+    held = lambda mark, found: F.when(text.contains(mark), found).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     return {
-        "email": matches(text, EMAIL),
+        "email": held("@", matches(text, EMAIL)),
         "ip": F.filter(matches(text, IP), lambda m: small_ip(m["value"])),
         "card": F.filter(matches(text, CARD), lambda m: (n(m) >= 14) & (n(m) <= 19) & luhn(digits(m["value"]))),
-        "phone": F.filter(matches(text, PHONE), lambda m: (n(m) >= 10) & (n(m) <= 15)),
+        "phone": held("+", F.filter(matches(text, PHONE), lambda m: (n(m) >= 10) & (n(m) <= 15))),
     }
 
 
-def _entities(found: DataFrame) -> DataFrame:
-    """_row, _text and the different entities of each row."""
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row by its id and text; rows that repeat share it."""
+    name = F.when(doc_id.isNull(), F.lit("n")).otherwise(F.concat(F.lit("i"), doc_id.cast("string")))
+    return F.unhex(F.md5(F.concat(name, F.lit("\0"), text).cast("binary")))
+
+
+def _entities() -> Column:
+    """The different entities of a row of found spans."""
     def named(kind):
         plain = {"email": F.lower, "ip": lambda v: v}.get(kind, digits)
         return lambda m: F.concat(F.lit(f"{kind}:"), plain(m["value"]))
 
-    each = F.concat(*[F.transform(kind, named(kind)) for kind in ("email", "ip", "card", "phone")])
-    return found.select("_row", "_text", F.array_distinct(each).alias("entities"))
+    return F.array_distinct(F.concat(*[F.transform(kind, named(kind)) for kind in ("email", "ip", "card", "phone")]))
 
 
 def _words_of(text: Column) -> Column:
@@ -87,69 +94,101 @@ def _words_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(outside), F.lit(TERM), F.lit(0)))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, cut) for the terms over a threshold, and (_row, term) for the rows that hold them.
+def _small(terms: DataFrame) -> bool:
+    """Whether a written table of terms may be broadcast: by its rows and its bytes."""
+    rows, size = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("term")), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+
+
+def candidate_pairs(told: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """(term, entity, n_both) that can still pass, and (entity, n_entity), with entities by number.
 
-    found: _row, _text, email, ip, card, phone as of :func:`base_spans`, for rows with an entity.
+    told: _row, _told (the text), entities, of every row with an entity. Bounds that lose no term spare the corpus-wide count
+    most of them: n(t, e) is at most n(e), the information at most log2(1 / P(e)), and n(t) at least the documents in which
+    t stands with any entity.
     """
-    texts = written(_entities(found), "pii-texts")
-    total = docs.count()
-    held_by = texts.select("_row", F.xxhash64("_text").alias("_sha"), F.explode("entities").alias("entity")).distinct()
-    n_entity = held_by.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"), F.countDistinct("_sha").alias("n_texts"), *[F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(f"_rows{i}") for i in (0, 1)])
-    # Bounds that lose no term: n(t, e) is at most n(e), and the information at most log2(1 / P(e)). Entities of the same
-    # documents have the same counts with every term; the smallest stands for them.
-    n_entity = n_entity.filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") * F.lit(2.0**BITS) <= total * (1 + 1e-9)))
-    n_entity = written(n_entity.withColumn("first", F.min("entity").over(Window.partitionBy("n_entity", "_rows0", "_rows1"))).select("entity", "first", "n_entity"), "pii-entities")
-    n_entity, same = n_entity.filter("entity = first").select("entity", "n_entity"), held_by.join(n_entity.filter("entity = first").select("entity"), "entity")
-    same = same.groupBy("_row", "_sha").agg(F.collect_list("entity").alias("_of")).withColumnRenamed("_row", "_held")
-    both = texts.select("_row", "_text").join(same, F.col("_row") == F.col("_held")).dropDuplicates(["_row"])
-    beside = both.select("_row", "_sha", "_of", F.explode(_words_of(F.col("_text"))).alias("term"))
-    pairs = beside.select("term", "_sha", F.explode("_of").alias("entity")).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("_sha").alias("n_texts"))
-    pairs = pairs.filter((F.col("n_both") >= SUPPORT) & (F.col("n_texts") >= SUPPORT))
-    # n(t) is at least the documents in which t stands with any entity, so this bound on P(e | t) loses no term; it
-    # spares the corpus-wide count the words that stand with many entities.
-    n_near = beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = written(pairs.join(n_near, "term").filter(F.col("n_both") / F.col("n_near") >= GENERALISE).drop("n_near"), "pii-pairs")
+    held_by = told.select("_row", F.xxhash64("_told").alias("_sha"), F.explode("entities").alias("name")).groupBy("_row", "_sha", "name").agg(F.count(F.lit(1)).alias("_n"))
+    found = held_by.groupBy("name").agg(F.sum("_n").alias("n_entity"), F.countDistinct("_sha").alias("n_texts"), *[F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(f"_rows{i}") for i in (0, 1)])
+    found = found.filter((F.col("n_texts") >= SUPPORT) & (F.col("n_entity") * F.lit(2.0**BITS) <= total * (1 + 1e-9)))
+    # Entities of the same documents have the same counts with every term; one stands for them.
+    found = written(found.groupBy("n_entity", "_rows0", "_rows1").agg(F.min("name").alias("name")).select("name", "n_entity", F.monotonically_increasing_id().alias("entity")), "pii-entities")
+    most = found.agg(F.max("n_entity")).first()[0] or 0
+    of = held_by.select(F.col("_row").alias("_held"), "name").join(found, "name").groupBy("_held").agg(F.collect_list(F.struct("entity", "n_entity")).alias("_of"))
+    of = written(of, "pii-held-by")
+    beside = told.join(of.select("_held"), F.col("_row") == F.col("_held"), "left_semi").select("_row", F.xxhash64("_told").alias("_sha"), F.explode(_words_of(F.col("_told"))).alias("term"))
+    beside = written(beside, "pii-beside")
+    near = beside.groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).filter((F.col("n_near") >= SUPPORT) & (F.col("n_near") * GENERALISE <= most))
+    # Only a term's entities of enough documents: a row's words meet its entities after the bounds.
+    met = beside.join(near, "term").join(of, F.col("_row") == F.col("_held"))
+    met = met.select("term", "_sha", "n_near", F.explode(F.filter("_of", lambda e: e["n_entity"] >= F.col("n_near") * GENERALISE)["entity"]).alias("entity"))
+    pairs = met.groupBy("term", "entity", "n_near").agg(F.count(F.lit(1)).alias("n_both"), F.countDistinct("_sha").alias("n_texts"))
+    pairs = pairs.filter((F.col("n_both") >= SUPPORT) & (F.col("n_texts") >= SUPPORT) & (F.col("n_both") / F.col("n_near") >= GENERALISE))
+    return written(pairs.select("term", "entity", "n_both"), "pii-pairs"), found.select("entity", "n_entity")
+
+
+def disclosing_terms(docs: DataFrame, told: DataFrame) -> DataFrame:
+    """(_row, term, cut) for each row that holds a term over a threshold. docs: _row, _text; told: as of :func:`candidate_pairs`."""
+    total = docs.select("_row").count()
+    pairs, entities = candidate_pairs(told, total)
     terms = written(pairs.select("term").distinct(), "pii-terms")
-    small = terms.count() <= BROADCAST_ROWS
     words = docs.select("_row", F.explode(_words_of(F.col("_text"))).alias("term"))
-    held = written(words.join(F.broadcast(terms) if small else terms, "term"), "pii-held")
-    n_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    p = F.col("n_both") / F.col("n_term")
-    scored = pairs.join(n_term, "term").join(n_entity, "entity").withColumn("p", p).withColumn("bits", F.log2(p / (F.col("n_entity") / F.lit(float(max(total, 1))))))
+    held = None
+    if not terms.head(1):
+        n_term = terms.select("term", F.lit(0).cast("long").alias("n_term"))
+    elif _small(terms):
+        held = written(words.join(F.broadcast(terms), "term"), "pii-held")
+        n_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    else:
+        n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).join(terms, "term")
+    scored = pairs.join(n_term, "term").join(entities, "entity").withColumn("p", F.col("n_both") / F.col("n_term"))
+    scored = scored.withColumn("bits", F.log2(F.col("p") / (F.col("n_entity") / F.lit(float(max(total, 1))))))
     over = scored.filter((F.col("p") >= GENERALISE) & (F.col("bits") >= BITS)).groupBy("term").agg((F.max("p") >= REMOVE).alias("cut"))
     over = written(over, "pii-over")
-    n_over = over.count()
-    return over, held.join(F.broadcast(over) if n_over <= BROADCAST_ROWS else over, "term").select("_row", "term", "cut")
+    if not over.head(1):
+        return docs.select("_row").limit(0).select("_row", F.lit("").alias("term"), F.lit(False).alias("cut"))
+    held = words if held is None else held
+    if _small(over):
+        return held.join(F.broadcast(over), "term").select("_row", "term", "cut")
+    # One term may stand in very many rows: both sides are salted.
+    salted = over.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return held.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).select("_row", "term", "cut")
+
+
+def term_spans(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """_of_row and terms, the spans (start, ord, end, kind) of the terms that each row holds; one row for each that holds some."""
+    held = written(rows.groupBy("_row").agg(F.collect_set(F.struct("term", "cut")).alias("_terms")).withColumnRenamed("_row", "_held"), "pii-rows")
+    texts = docs.join(held, F.col("_row") == F.col("_held"))
+    cut = F.transform(F.filter("_terms", lambda t: t["cut"]), lambda t: t["term"])
+    any_term = F.concat(F.lit(r"(?U)(?<!\p{L})(?i:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
+    texts = texts.select("_held", "_text", cut.alias("_cut"), any_term.alias("_pattern")).select("_held", "_cut", matches(F.col("_text"), F.col("_pattern")).alias("_at"))
+    gone = lambda m: F.array_contains(F.col("_cut"), F.lower(m["value"]))
+    at = F.transform("_at", lambda m: F.struct(m["start"].alias("start"), F.when(gone(m), 5).otherwise(4).alias("ord"), m["end"].alias("end"), F.when(gone(m), "cut").otherwise("term").alias("kind")))
+    return written(texts.select(F.col("_held").alias("_of_row"), at.alias("terms")).dropDuplicates(["_of_row"]), "pii-term-spans")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, _text, base (pattern spans), found (all spans) as structs (start, ord, end, kind).
+    """One row per input row: doc_id, _row (see :func:`row_key`), base (pattern spans), found (all spans) as structs (start, ord, end, kind).
 
     Kinds beside the patterns' are ``term`` (to generalise) and ``cut`` (to remove). A term inside a pattern's
     span is not repeated. Defined cases: a null text is empty; empty texts and tables have no spans; repeated
-    rows each get a row and count as documents, but copies of one text never suffice as support; other columns
+    rows each get a row and count as a document each in every count, but copies of one text never suffice as support; other columns
     are ignored.
     """
-    numbered = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("_text"), F.xxhash64(F.col(id_col), whole_text(text_col)).alias("_row"))
+    text = whole_text(text_col)
+    numbered = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), row_key(F.col(id_col), text).alias("_row"))
+    kinds = ("email", "ip", "card", "phone")
     spotted = numbered.select("*", *[c.alias(k) for k, c in base_spans(F.col("_text")).items()])
     some = F.size("email") + F.size("ip") + F.size("card") + F.size("phone") > 0
-    _, rows = disclosing_terms(numbered.select("_row", "_text"), spotted.filter(some))
-    held = rows.groupBy("_row").agg(F.collect_set(F.struct("term", "cut")).alias("_terms")).withColumnRenamed("_row", "_held")
-    held = written(held, "pii-rows")
-    if held.count() <= BROADCAST_ROWS // 10:
-        held = F.broadcast(held)
-    joined = spotted.join(held, F.col("_row") == F.col("_held"), "left")
-    base = F.concat(*[kind_spans(F.col(k), k, i) for i, k in enumerate(("email", "ip", "card", "phone"))])
-    any_term = F.concat(F.lit(r"(?U)(?<!\p{L})(?i:"), F.array_join(F.transform("_terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
-    cut = F.transform(F.filter("_terms", lambda t: t["cut"]), lambda t: t["term"])
-    at = F.transform(
-        matches(F.col("_text"), any_term),
-        lambda m: F.struct(m["start"].alias("start"), F.when(F.array_contains(F.col("_cut"), F.lower(m["value"])), 5).otherwise(4).alias("ord"), m["end"].alias("end"), F.when(F.array_contains(F.col("_cut"), F.lower(m["value"])), "cut").otherwise("term").alias("kind")),
-    )
-    based = joined.select("doc_id", "_text", "_terms", base.alias("base"), F.coalesce(cut, F.array().cast("array<string>")).alias("_cut"))
-    new = F.when(F.col("_terms").isNotNull(), F.filter(at, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))).otherwise(F.array().cast("array<struct<start:int,ord:int,end:int,kind:string>>"))
-    return based.select("doc_id", "_text", "base", F.concat("base", new).alias("found"))
+    spotted = written(spotted.select("doc_id", "_row", *kinds, F.when(some, F.col("_text")).alias("_told")), "pii-spans")
+    told = spotted.filter("_told IS NOT NULL").select("_row", "_told", _entities().alias("entities"))
+    rows = disclosing_terms(numbered.select("_row", "_text"), told)
+    base = F.concat(*[kind_spans(F.col(k), k, i) for i, k in enumerate(kinds)])
+    based = spotted.select("doc_id", "_row", base.alias("base"))
+    if not rows.head(1):
+        return based.withColumn("found", F.col("base"))
+    joined = based.join(term_spans(numbered, rows), F.col("_row") == F.col("_of_row"), "left")
+    new = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return joined.select("doc_id", "_row", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", new)).alias("found"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,7 +202,10 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, F.element_at(labels, s["kind"])).alias("out")))
 
     done = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    return find(docs, id_col, text_col).select("doc_id", done.alias("text"))
+    text = whole_text(text_col)
+    numbered = docs.select(F.col(id_col).alias("doc_id"), text.alias("_text"), row_key(F.col(id_col), text).alias("_row"))
+    spans_of = find(docs, id_col, text_col).select(F.col("_row").alias("_of"), "found").dropDuplicates(["_of"])
+    return numbered.join(spans_of, F.col("_row") == F.col("_of")).select("doc_id", done.alias("text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
