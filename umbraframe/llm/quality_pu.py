@@ -1,7 +1,8 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of the training folds with quality 1; the unlabelled web text is the other
-half of those rows with their labels withheld. The class prior is estimated from held-back parts of both: for any
+Trusted positives are labelled rows of the training folds with quality 1, at most ``LABELLED``; the unlabelled web text is a
+sample of all documents of these folds, at most ``UNLABELLED``, whatever their labels are, so the prior is the corpus's. Both take
+the lowest hashes of doc_id. The class prior is estimated from held-back parts of both: for any
 set A of scores, prior <= P_u(A) / P_p(A), so the least such ratio over upper sets of scores is the estimate.
 A linear model is then fitted by mini-batches on the non-negative unbiased risk
 
@@ -11,7 +12,7 @@ with the logistic loss, so that the model's sigmoid estimates the probability of
 term falls below zero on a batch, the step goes up it instead, which keeps the model from fitting the positives away.
 
 Inputs are byte classes, repetition and length of the whole text and its hashed byte trigrams; never labels,
-lang, source or doc_id. The fit uses at most ``LABELLED`` rows; every text is scored whole where it lies.
+lang, source or doc_id. Every text is scored whole where it lies.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from umbraframe.llm.common import ready, table, whole_text
 
-#: The bound of the labelled sample: the rows of the lowest hashes.
-LABELLED = 6_000
+#: The bounds of the samples of labelled positives and of unlabelled documents.
+LABELLED, UNLABELLED = 6_000, 6_000
 THRESHOLD = 0.3
 HASHED = 1_024
 DENSE = 21
@@ -108,6 +109,20 @@ def _descend(model: Model, gradient, n: int, epochs: int, batch: int, rng: np.ra
     return model
 
 
+def nn_risk(fp: np.ndarray, fu: np.ndarray, prior: float) -> tuple[float, float]:
+    """(risk of the positives as such, risk of the rest as negatives before it is held at 0) of scores before the sigmoid."""
+    return prior * float(np.logaddexp(0, -fp).mean()), float(np.logaddexp(0, fu).mean()) - prior * float(np.logaddexp(0, fp).mean())
+
+
+def nn_gradient(w: np.ndarray, b: float, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The step's direction for weights and bias: the risk's gradient, or, where the negative part is below 0, up that part."""
+    fp, fu = p @ w + b, u @ w + b
+    up = -prior * sigmoid(-fp) / len(p)  # of softplus(-f), over positives as +
+    down_p, down_u = sigmoid(fp) / len(p), sigmoid(fu) / len(u)  # of softplus(f), as -
+    gp, gu = (up - prior * down_p, down_u) if nn_risk(fp, fu, prior)[1] >= 0 else (prior * down_p, -down_u)
+    return np.append(gp @ p + gu @ u, gp.sum() + gu.sum())
+
+
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 256, seed: int = 0) -> Model:
     """The minimiser of the non-negative risk over raw features (rows of :func:`features`)."""
     both = np.concatenate([positive, unlabelled])
@@ -116,25 +131,18 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     rng = np.random.default_rng(seed)
 
     def gradient(model: Model, rows: np.ndarray) -> np.ndarray:
-        u = xu[rows]
-        p = xp[rng.integers(0, len(xp), len(rows))]
-        fp, fu = p @ model.w + model.b, u @ model.w + model.b
-        up = -sigmoid(-fp) / len(p)  # of softplus(-f), over positives as +
-        down_p, down_u = sigmoid(fp) / len(p), sigmoid(fu) / len(u)  # of softplus(f), as -
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        sign = 1.0 if negative >= 0 else -1.0
-        gp = (prior * up if sign > 0 else 0 * up) - sign * prior * down_p
-        gu = sign * down_u
-        return np.append(gp @ p + gu @ u, gp.sum() + gu.sum())
+        return nn_gradient(model.w, model.b, xp[rng.integers(0, len(xp), len(rows))], xu[rows], prior)
 
     return _descend(model, gradient, len(xu), epochs, batch, rng)
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0) -> float:
-    """The share of positives among the unlabelled: the least ratio of upper tails of a positive-against-unlabelled score."""
-    p0, p1, u0, u1 = positive[::2], positive[1::2], unlabelled[::2], unlabelled[1::2]
-    if min(map(len, (p0, p1, u0, u1))) < 10:
-        return 0.5
+    """The share of positives among the unlabelled: the least ratio of upper tails of a positive-against-unlabelled score.
+
+    One half of either set fits the score, the other gives the tails; sets of fewer than 20 rows give both whole.
+    """
+    halves = lambda x: (x[::2], x[1::2]) if len(x) >= 20 else (x, x)
+    (p0, p1), (u0, u1) = halves(positive), halves(unlabelled)
     both = np.concatenate([p0, u0])
     model = Model(both.mean(0), both.std(0) + 1e-4)
     x, y = model.scaled(both), np.concatenate([np.ones(len(p0)), np.zeros(len(u0))])
@@ -152,12 +160,13 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def sample_features(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features of trusted positives and of unlabelled text, from at most ``most`` labelled rows of the training folds."""
-    rows = labels.filter(in_training(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality"))
-    chosen = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))
-    chosen = chosen.select(F.col("doc_id").alias("_of"), F.when(half == 1, "u").when(F.col("_quality") == 1, "p").alias("_part")).filter("_part IS NOT NULL")
+def sample_features(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features of at most ``most`` trusted positives and at most ``unlabelled`` documents of the training folds."""
+    good = labels.filter(in_training(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("_quality")).filter("_quality = 1")
+    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("_of"), F.lit("p").alias("_part"))
+    some = docs.select("doc_id").filter(in_training(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit("unlabelled")), "doc_id").limit(unlabelled)
+    some = some.distinct().select(F.col("doc_id").alias("_of"), F.lit("u").alias("_part"))
+    chosen = good.unionByName(some)  # at most so many ids
     found = docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_of")).select("doc_id", "_part", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,18 +174,20 @@ def sample_features(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
             rows = [features(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "part", "x"])
 
-    # ``most`` rows of a fixed width: bounded. Sorted, so that the fit does not depend on the order of tasks.
-    got = sorted((r.doc_id, r.part, bytes(r.x)) for r in found.transform(ready).mapInArrow(run, "doc_id long, part string, x binary").collect())
-    return tuple(np.array([np.frombuffer(x, np.float32) for _, p, x in got if p == part], np.float32).reshape(-1, DENSE + HASHED) for part in "pu")
+    # One text of each id, however often it repeats: rows of a fixed width, as many as were chosen. Sorted, so that the fit does not
+    # depend on the order of tasks.
+    one = found.transform(ready).mapInArrow(run, "doc_id long, part string, x binary").groupBy("doc_id", "part").agg(F.min("x").alias("x"))
+    got = sorted((r.part, r.doc_id, bytes(r.x)) for r in one.collect())
+    return tuple(np.array([np.frombuffer(x, np.float32) for p, _, x in got if p == part], np.float32).reshape(-1, DENSE + HASHED) for part in "pu")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> tuple[Model | None, float]:
-    """(model, estimated prior); no model where there are no trusted positives or no unlabelled rows."""
-    positive, unlabelled = sample_features(docs, labels, most)
-    if not len(positive) or not len(unlabelled):
-        return None, 0.5
-    prior = estimate_prior(positive, unlabelled)
-    return fit_nnpu(positive, unlabelled, prior), prior
+def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[Model | None, float | None]:
+    """(model, estimated prior); neither where there are no trusted positives or no unlabelled documents."""
+    positive, rest = sample_features(docs, labels, most, unlabelled)
+    if not len(positive) or not len(rest):
+        return None, None
+    prior = estimate_prior(positive, rest)
+    return fit_nnpu(positive, rest, prior), prior
 
 
 def score(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
