@@ -33,6 +33,8 @@ from umbraframe.llm.pretok import ALPHABET, BYTE_LEVEL, BYTE_LEVEL_SAFE, Memo, b
 
 SHARE = 1e-5
 LEXICON = 40_000
+#: Characters of texts that are encoded at once.
+CHARS = 1_000_000
 MAGIC = b"UFT1"
 NONE = np.iinfo(np.int64).max
 
@@ -244,7 +246,7 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; special tokens' strings in a text become their ids."""
         out = []
-        for part in chunks(texts):
+        for part in chunks(texts, CHARS):
             cut = [self.special.split(t) if self.special and self.special.search(t) else [t] for t in texts[part]]
             coded = iter(self.memo.encode([self._pieces(s) if s else [] for x in cut for s in x[::2]]))
             for x in cut:
@@ -311,7 +313,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, shared.value, digest)
         for batch in batches:
-            for part in chunks(texts := batch.column(1).to_pylist(), 8_000_000):
+            for part in chunks(texts := batch.column(1).to_pylist(), CHARS):
                 rows = [{"n": len(i), "sha": hashlib.sha256(i.astype("<u4", copy=False).tobytes()).hexdigest(), "text": hashlib.sha256(c.merges.decode(i).encode()).hexdigest()} | ({"ids": i.astype(np.int32)} if with_ids else {}) for i in c.encode(texts[part])]
                 cols = [batch.column(0)[part], pa.array([r["n"] for r in rows], pa.int64()), pa.array([r["sha"] for r in rows], pa.string()), pa.array([r["text"] for r in rows], pa.string())]
                 if with_ids:
