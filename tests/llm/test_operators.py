@@ -244,6 +244,54 @@ def test_pii_terms_far_from_their_entities(spark):
     assert set().union(*got.values()) == over
 
 
+def terms_by_hand(rows):
+    """doc_id -> terms over a threshold, from n(t, e), n(t) and n(e) over all rows, by the definition."""
+    pattern = re.compile(PRIVATE[0][1])
+    held = []
+    for i, t in rows:
+        entities = {m.group().lower() for m in pattern.finditer(t)}
+        held.append((i, t, set(re.findall("[a-z]{3,}", pattern.sub(" ", t).lower())), entities))
+    n_t, n_e, both, texts = {}, {}, {}, {}
+    for _, t, words, entities in held:
+        for w in words:
+            n_t[w] = n_t.get(w, 0) + 1
+        for e in entities:
+            n_e[e] = n_e.get(e, 0) + 1
+            for w in words:
+                both[w, e] = both.get((w, e), 0) + 1
+                texts.setdefault((w, e), set()).add(t)
+    over = {w for (w, e), n in both.items() if len(texts[w, e]) >= 3 and n / n_t[w] >= 0.5 and np.log2(n / n_t[w] / (n_e[e] / len(rows))) >= 4}
+    return {i: words & over for i, _, words, _ in held}
+
+
+def test_pii_terms_of_repeated_rows(spark):
+    """The same terms pass whether the corpus stands once, three times, or in part repeatedly; against brute force."""
+    rng = random.Random(23)
+    people = {f"p{k}@firm{k}.example.com": [f"nym{c}{c}{k % 7 * 'o'}" for c in "abc"] for k in range(6)}
+    rows = []
+    for k, (mail, terms) in enumerate(people.items()):
+        for j in range(3 + k % 3):
+            near = [t for t in terms if rng.random() < 0.9] + ([f"{'xy'[k % 2]}alias"] if j else [])
+            rows.append((len(rows), " ".join([prose(6), *near, mail, prose(6)])))
+    rows += [(500 + i, prose(12) + (" nymaa" if i == 3 else "")) for i in range(260)]
+    for table in (rows, rows * 3, rows + rows[:5] * 2):
+        got = {}
+        for r in pii_disclosure.find(spark.createDataFrame(table, "doc_id long, text string")).collect():
+            got.setdefault(r.doc_id, set()).update(dict(rows)[r.doc_id][s.start : s.end].lower() for s in r.found if s.kind in ("term", "cut"))
+        want = terms_by_hand(table)
+        assert got == {i: want[i] for i in got} and sum(map(bool, want.values())) > 10
+
+
+def test_pii_large_tables_of_terms(spark, monkeypatch):
+    """Beyond what may be broadcast, the same terms are found."""
+    told = [(i, f"{prose(8)} Zorblax wrote boss@firm.example.com {prose(8)}") for i in range(4)] + [(9, "zorblax again"), *((20 + i, prose(9)) for i in range(200))]
+    table = spark.createDataFrame(told, "doc_id long, text string")
+    spans = lambda: sorted((r.doc_id, [(s.start, s.end, s.kind) for s in r.found]) for r in pii_disclosure.find(table).collect())
+    want = spans()
+    monkeypatch.setattr(pii_disclosure, "BROADCAST_ROWS", 0)
+    assert spans() == want and any(s[2] in ("term", "cut") for s in want[4][1])
+
+
 def test_bpe(docs, rows):
     from tokenizers import Tokenizer
 
@@ -361,7 +409,7 @@ def test_layouts_occur_at_every_size():
 def test_near_dedup(docs, rows):
     got = {r.doc_id: r for r in near_dedup.near_classes(docs).collect()}
     assert got[11].class_id == got[10].class_id == got[12].class_id == 10 and got[9].class_id == got[8].class_id == 8
-    assert got[0].class_id == got[1].class_id == got[2].class_id == got[100].class_id == 0 and got[None].class_id == 4
+    assert got[0].class_id == got[1].class_id == got[2].class_id == got[100].class_id == 0 and got[None].class_id == 4 and not got[None].kept
     assert len({got[200 + i].class_id for i in range(60)}) == 60
     kept = near_dedup.drop_near_copies(docs)
     assert kept.columns == docs.columns and kept.count() == len({r.class_id for r in got.values()})
@@ -399,6 +447,64 @@ def test_near_dedup_of_large_keys(spark):
         assert [got[i] for i in range(len(texts))] == want
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    """No text is lost to another that shares its id or has none, and a null id never beats an id."""
+    a, b, x, y = prose(60), prose(60), prose(60), prose(60)
+    near = x.split()
+    near[30] = "altered"
+
+    def run(*rows):
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((key(r.doc_id), r.class_size) for r in near_dedup.near_classes(table).collect()), near_dedup.drop_near_copies(table).collect()
+
+    classes, kept = run((None, a), (None, b), (1, x), (2, y))
+    assert classes == [(key(1), 1), (key(2), 1), (key(None), 1), (key(None), 1)] and len(kept) == 4
+    _, kept = run((None, a), (1, a), (None, b))
+    assert sorted((key(r.doc_id), r.text) for r in kept) == [(key(1), a), (key(None), b)]
+    _, kept = run((7, x), (7, y), (7, y), (None, y), (8, " ".join(near)), (None, a), (None, a), (None, a.replace(" ", "  ")))
+    assert sorted((key(r.doc_id), " ".join(r.text.split())) for r in kept) == sorted([(key(7), x), (key(7), y), (key(None), a)])
+    classes, _ = run(*[(-3, y)] * 40, (-4, y), (None, b))
+    assert classes == [(key(-4), 41), *[(key(-3), 41)] * 40, (key(None), 1)] or classes == sorted([(key(-4), 41), *[(key(-3), 41)] * 40, (key(None), 1)])
+
+
+def test_near_dedup_recall_of_all_pairs(spark):
+    """Against all pairs by the operator's own weighted Jaccard: a family of 300 whose members straddle the threshold."""
+    rng = random.Random(17)
+    base, texts = [rng.choice(WORDS) for _ in range(300)], []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(300), rng.randint(4, 7)):
+            words[at] = "".join(rng.choice("klmnop") for _ in range(8))
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dedup.digests_and_frequencies(near_dedup._slim(docs, "doc_id", "text"))[1]
+    vectors = [near_dedup.weighted(t, idf) for t in texts]
+    pairs = [(a, b) for b in range(300) for a in range(b) if near_dedup.weighted_jaccard(vectors[a], vectors[b]) >= 0.8]
+    of = {r.doc_id: r.class_id for r in near_dedup.near_classes(docs).collect()}
+    assert len(pairs) > 50 and sum(of[a] == of[b] for a, b in pairs) >= 0.98 * len(pairs)
+    linked = list(range(300))  # no two documents are in one class without a chain of such pairs
+    for a, b in sorted(pairs, key=lambda p: p[1]):
+        low, high = sorted((linked[a], linked[b]))
+        linked = [low if x == high else x for x in linked]
+    assert all(linked[i] == linked[of[i]] for i in of)
+
+
+def test_idf_does_not_depend_on_the_number_of_documents():
+    """A passage in a tenth of the documents is discounted alike in a thousand and in very many; rare shingles are not."""
+    rng = np.random.default_rng(5)
+    text = " ".join(f"w{i}" for i in range(300))
+    s = near_dedup.shingles(near_dedup.word_hashes(text))
+    got = []
+    for n in (10**4, 10**7, 10**10):
+        df = rng.poisson(300 * n / near_dedup.BUCKETS, (2, near_dedup.BUCKETS)).astype(np.int64)  # all other shingles
+        for row, at in zip(df, near_dedup.buckets(s[:40]), strict=True):
+            row[at] += n // 10
+        found = dict(zip(*near_dedup.weighted(text, near_dedup.idf_table(df, n)), strict=True))
+        got.append([found[x] for x in s])
+        assert (np.array(got[-1][:40]) < 0.65).all() and np.mean(np.array(got[-1][40:]) == 1) > 0.99
+    assert np.allclose(got[0][:40], got[2][:40], rtol=0.02)
+
+
 def test_order_of_large_keys_joins_equal_bands(spark):
     """Rows that agree in a key and the two that follow are one chain in its order, whatever their ids."""
     rows = [(1, 2, 3, i) for i in range(100)] + [(1, 4, 5, 100 + i) for i in range(100)]
@@ -430,3 +536,43 @@ def test_quality(docs, spark):
     assert quality_pu.score(docs, model).count() == docs.count()
     assert {r.score for r in quality_pu.score(docs, None).collect()} == {0.5}
     assert quality_pu.keep_quality(docs, model).columns == docs.columns
+
+
+def test_nn_risk_gradient():
+    """The gradient is that of the risk by differences; below 0 it goes up the negative part alone."""
+    rng = np.random.default_rng(2)
+    p, u, w = rng.normal(0.5, 1, (40, 5)), rng.normal(0, 1, (70, 5)), rng.normal(0, 1, 5)
+
+    def by_differences(part, prior):
+        out = []
+        for k in range(6):
+            step = np.eye(6)[k] * 1e-6
+            at = lambda s: part(*quality_pu.nn_risk(p @ (w + s[:5]) + 0.1 + s[5], u @ (w + s[:5]) + 0.1 + s[5], prior))
+            out.append((at(step) - at(-step)) / 2e-6)
+        return np.array(out)
+
+    assert quality_pu.nn_risk(p @ w + 0.1, u @ w + 0.1, 0.3)[1] > 0 > quality_pu.nn_risk(p @ w + 0.1, u @ w + 0.1, 0.98)[1]
+    assert np.allclose(quality_pu.nn_gradient(w, 0.1, p, u, 0.3), by_differences(lambda a, b: a + b, 0.3), atol=1e-5)
+    assert np.allclose(quality_pu.nn_gradient(w, 0.1, p, u, 0.98), by_differences(lambda a, b: -b, 0.98), atol=1e-5)
+
+
+def test_prior_of_known_mixtures():
+    rng = np.random.default_rng(4)
+    width = quality_pu.DENSE + quality_pu.HASHED
+    for prior in (0.3, 0.6, 0.9):
+        positive, good = rng.normal(0, 1, (1500, width)), rng.random(3000) < prior
+        unlabelled = rng.normal(0, 1, (3000, width))
+        unlabelled[~good, :6] += 3
+        assert abs(quality_pu.estimate_prior(positive, unlabelled) - prior) < 0.08
+
+
+def test_samples_are_bounded(docs, spark):
+    """Of an id that repeats one text is taken, and unlabelled documents are part of the fit."""
+    table = spark.createDataFrame([(i, f"text {i}") for i in range(50)] + [(3, f"again {k}") for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in (1, 3, 3, 6)], "doc_id long, quality int, toxic int")
+    trained = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    p, u = quality_pu.sample_features(table, labels)
+    assert len(p) == len({1, 3, 6} & set(trained)) and len(u) == len(trained)
+    assert len(quality_pu.sample_features(table, labels, 1, 7)[0]) == 1 and len(quality_pu.sample_features(table, labels, 1, 7)[1]) <= 7
+    assert quality_pu.fit(table, labels.limit(0)) == (None, None)
+    assert quality_pu.fit(table.limit(9), labels)[0] is not None
