@@ -1,12 +1,17 @@
+import errno
 import hashlib
+import io
+import json
 import os
 import tarfile
+import time
+import urllib.error
 
 import numpy as np
 import pytest
 
-from umbraframe.operators.detect import CLS, ENTITY, ENTITY_END, SEP, OnnxDetector, build_inputs, decode_window
-from umbraframe.sources.models import Installer, InstallError, ModelPin, ModelStore, RecordFile, Rollback, disk_needed, predecessor, safe_component
+from umbraframe.operators.detect import CLS, ENTITY, ENTITY_END, SEP, Late, OnnxDetector, build_inputs, decode_window
+from umbraframe.sources.models import PARTIAL_AGE, REQUIRED, Installer, InstallError, ModelPin, ModelStore, RecordFile, Rollback, classify, disk_needed, predecessor, safe_component, same_volume, verified
 
 
 def published(tmp_path, version, weights=b"w"):
@@ -64,6 +69,145 @@ def test_names_and_sizes(tmp_path):
         pin.relocated("x/y")
 
 
+def test_manifest(tmp_path):
+    """A manifest names the pin and the hashes that are checked at each load."""
+    store = ModelStore(str(tmp_path / "m"))
+    pin = published(tmp_path, "v1", b"all files alike")
+    Installer(store, pin).ensure()
+    sha = hashlib.sha256(b"all files alike").hexdigest()
+    manifest = {"_comment": "x", "version": "v1", "sourceURL": pin.url, "archiveSHA256": pin.archive_sha256, "weightsSHA256": sha, "bytes": 9, "maxWidth": 7, "maxSequenceLength": 99, "files": {"tokenizerSHA256": sha.upper(), "tokenizerConfigSHA256": sha}}
+    path = tmp_path / "manifest.json"
+    path.write_text(json.dumps(manifest))
+    read = ModelPin.from_json(str(path))
+    assert (read.version, read.url, read.archive_bytes, read.max_width, read.max_sequence) == ("v1", pin.url, 9, 7, 99)
+    assert set(read.file_sha256) == set(REQUIRED) and verified(store.resolved(), read)
+    for name in REQUIRED:
+        old = (tmp_path / "m/v1" / name).read_bytes()
+        (tmp_path / "m/v1" / name).write_bytes(b"other")
+        assert not verified(store.resolved(), read)
+        (tmp_path / "m/v1" / name).write_bytes(old)
+    del manifest["files"]
+    path.write_text(json.dumps(manifest))
+    assert ModelPin.from_json(str(path)).file_sha256 == {} and verified(store.resolved(), ModelPin.from_json(str(path)))
+    del manifest["bytes"]
+    path.write_text(json.dumps(manifest))
+    with pytest.raises(ValueError, match="bytes"):
+        ModelPin.from_json(str(path))
+
+
+def test_no_model_is_loaded_but_that_of_the_pin(tmp_path, spark):
+    """The hashes are checked at each load, before any file is read as a model."""
+    store, pin = ModelStore(str(tmp_path / "m")), published(tmp_path, "v1", b"no real weights")
+    Installer(store, pin).ensure()
+    (tmp_path / "m/v1/model.onnx").write_bytes(b"tampered")
+    with pytest.raises(ValueError, match="not those of the pin"):
+        OnnxDetector(store.resolved(), "a", pin=pin).session()
+    (tmp_path / "m/v1/model.onnx").write_bytes(b"no real weights")
+    with pytest.raises(Exception) as e:  # now the files are the pin's, and no model
+        OnnxDetector(store.resolved(), "b", pin=pin).session()
+    assert "not those of the pin" not in str(e.value)
+    (tmp_path / "m/v1/model.onnx").write_bytes(b"tampered")
+    assert OnnxDetector(store.resolved(), "c", pin=pin)(spark.createDataFrame([("k@l.mn",)], "text string"), "text").first().spans is None
+
+
+def test_http_download(tmp_path):
+    """Over any opener: progress in pieces, hashes checked, a refused address is a failure."""
+    pin, seen = published(tmp_path, "v1", os.urandom(3_000_000)), []
+    content = open(pin.url.removeprefix("file://"), "rb").read()
+    remote = pin.relocated("https://models.invalid/v1.tar.gz")
+    assert remote.archive_sha256 == pin.archive_sha256
+    opened = lambda url, timeout: io.BytesIO(content)
+    assert Installer(ModelStore(str(tmp_path / "m")), remote, opener=opened).ensure(on_progress=seen.append) == "installed"
+    assert len(seen) >= 3 and seen == sorted(seen) and seen[-1] == 1
+
+    def refused(url, timeout):
+        raise urllib.error.HTTPError(url, 404, "gone", {}, None)
+
+    def unreachable(url, timeout):
+        raise urllib.error.URLError("no route")
+
+    for opener, kind in ((refused, "download"), (unreachable, "offline"), (lambda url, timeout: io.BytesIO(content[:-9]), "download")):
+        with pytest.raises(InstallError, match=kind):
+            Installer(ModelStore(str(tmp_path / "n")), remote, opener=opener).ensure()
+    assert not os.listdir(tmp_path / "n")
+
+
+def test_partial_files_are_swept_by_age(tmp_path):
+    old, new, other = (tmp_path / x for x in (".download-a", ".staging-b", "v1"))
+    for x in (old, new, other):
+        x.mkdir()
+    now = time.time()
+    os.utime(old, (now - PARTIAL_AGE - 5,) * 2)
+    os.utime(other, (0, 0))
+    Installer(ModelStore(str(tmp_path)), published(tmp_path, "v2")).sweep(now)
+    assert not old.exists() and new.exists() and other.exists()
+
+
+def test_volumes_and_kinds_of_failure(tmp_path):
+    assert same_volume(str(tmp_path), str(tmp_path / "not/yet/here")) and not same_volume("/proc", str(tmp_path))
+    made = [OSError(errno.ENOSPC, ""), PermissionError(errno.EACCES, ""), TimeoutError(), urllib.error.URLError(OSError(errno.ENOSPC, "")), ValueError(), InstallError("offline")]
+    assert [classify(e) for e in made] == ["space", "permission", "offline", "space", "download", "offline"]
+
+
+def test_pointer_and_overrides(tmp_path):
+    store = ModelStore(str(tmp_path / "m"))
+    for v in ("v1", "v2"):
+        Installer(store, published(tmp_path, v)).ensure()
+    assert store.promoted().endswith("v2")
+    link = ModelStore(str(tmp_path / "l"))
+    (tmp_path / "l").mkdir()
+    os.symlink("v7", tmp_path / "l/current")
+    assert link.promoted().endswith("v7")
+    (tmp_path / "m/current").write_text("../v1")
+    assert store.promoted() is None
+    assert ModelStore(str(tmp_path / "m"), overrides=(str(tmp_path / "none"), str(tmp_path / "m/v1"))).resolved().endswith("v1")
+
+
+def onnx_stub(calls, steps):
+    """A clock that moves by what each call of the model takes."""
+    now = [0.0]
+
+    def run(inputs, left):
+        calls.append(left)
+        now[0] += steps[min(len(calls), len(steps)) - 1]
+        return np.full((inputs["text_lengths"][0][0], 12, 1), -9.0)
+
+    return run, lambda: now[0]
+
+
+def test_a_pass_ends_at_its_deadline():
+    text, encode = " ".join(["word"] * 900), lambda ws: [[1]] * len(ws)
+    calls = []
+    run, clock = onnx_stub(calls, (2.0, 2.0, 2.0, 2.0))
+    detector = OnnxDetector("x", labels=("address",), max_sequence=300, timeout=5.0)
+    with pytest.raises(Late):
+        detector.detect(text, run, encode, clock)
+    assert calls == [5.0, 3.0, 1.0]  # no fourth window is begun
+    run, clock = onnx_stub([], (1.0,))
+    assert detector.detect(text, run, encode, clock) == []
+    run, clock = onnx_stub(calls := [], (99.0,))
+    assert OnnxDetector("x", labels=("address",), max_sequence=300).detect(text, run, encode, clock) == [] and set(calls) == {None}
+
+    def ended(inputs, left):
+        raise RuntimeError("the call was told to end")
+
+    late = iter([0.0, 0.0, 9.0])
+    with pytest.raises(Late):
+        detector.detect(text, ended, encode, lambda: next(late))
+    with pytest.raises(RuntimeError):
+        detector.detect(text, ended, encode, lambda: 0.0)
+
+
+def test_texts_over_the_model_s_limits_are_dropped():
+    encode = lambda ws: [[1] * len(w) for w in ws]
+    run = lambda inputs, left: np.full((inputs["text_lengths"][0][0], 12, 1), -9.0)
+    detect = OnnxDetector("x", labels=("id",), max_input_tokens=50, max_sequence=30).detect
+    assert detect("ab cd", run, encode) == [] and detect("", run, encode) == [] and detect("  ", run, encode) == []
+    assert detect("a" * 51, run, encode) is None  # all together
+    assert detect("a" * 30, run, encode) is None  # one word alone
+    assert detect("abcd " * 12, run, encode) == []  # in several windows
+
+
 def test_inputs_and_decoding():
     x = build_inputs([[7, 8], [9]], [[3, 4], [5]], 3)
     assert x["input_ids"].tolist() == [[CLS, ENTITY, 7, 8, ENTITY, 9, ENTITY_END, 3, 4, 5, SEP]]
@@ -75,7 +219,7 @@ def test_inputs_and_decoding():
 
 
 def test_detector_fails_closed(spark):
-    df = spark.createDataFrame([("a@b.com",)], "text string")
+    df = spark.createDataFrame([("k@l.mn",)], "text string")
     assert OnnxDetector("/no/such/model")(df, "text").first().spans is None
-    found = OnnxDetector("x", labels=("email address",), max_width=2).detect("hi a@b.com 👋", lambda i: np.where(np.arange(3 * 2) == 2, 5.0, -5.0), lambda ws: [[1]] * len(ws))
-    assert found == [{"start": 3, "end": 10, "label": "email address"}]
+    found = OnnxDetector("x", labels=("email address",), max_width=2).detect("to k@l.mnop 👋", lambda i, left: np.where(np.arange(3 * 2) == 2, 5.0, -5.0), lambda ws: [[1]] * len(ws))
+    assert found == [{"start": 3, "end": 11, "label": "email address"}]

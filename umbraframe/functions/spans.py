@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,7 +20,11 @@ TRAILING = ".,?!;:…)]}\"'”’»"
 RS = "\x1e"
 GUARD, SEPARATOR, MARKER = RS * 2, f" {RS * 3} ", RS + "{2,3}"
 
-SPANS = "array<struct<start:int,end:int,label:string>>"
+SPAN = "struct<start:int,end:int,label:string>"
+SPANS = f"array<{SPAN}>"
+MATCHES = "array<struct<start:int,end:int,value:string>>"
+#: Elements that one fold gathers, as it copies what it has at each step; characters of a text's chunk.
+BLOCK, CHUNK = 128, 4096
 
 
 def none() -> Column:
@@ -33,6 +39,54 @@ def part(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once: a lambda evaluates an expression that it names anew for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def chunked(text: Column) -> Column:
+    """The text in chunks, so that a part of it is found without walking all that stands before it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(chunks: Column, start: Column, end: Column) -> Column:
+    """:func:`part` of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    last = F.floor((F.greatest(end, start + 1) - 1) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, end - start)
+
+
+def blocks(items: Column) -> Column:
+    """An array (with at least one element) in arrays of BLOCK."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda i: F.slice(items, i * BLOCK + 1, F.lit(BLOCK)))
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """array<struct<start,end,value>> of a pattern's leftmost matches that do not overlap.
+
+    Catalyst has no places of matches; they follow from the lengths of the matches and of what lies between them. A fold
+    runs over each block of matches and once over the blocks: linear in a text's length and matches.
+    """
+    none_yet = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
+
+    def step(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["value"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+
+    def placed(found):
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        pairs = F.zip_with(found, gaps, lambda m, g: F.struct(g.alias("gap"), m.alias("value")))
+        return F.when(F.size(found) > 0, bound(bound(pairs, lambda p: F.transform(blocks(p), lambda b: F.aggregate(b, none_yet, step))), shifted)).otherwise(F.array().cast(MATCHES))
+
+    def shifted(each):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(each, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(each, before, lambda x, by: F.transform(x["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["value"].alias("value")))))
+
+    return F.when(text.isNotNull(), bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed))
+
+
 def key_of(label: Column) -> Column:
     """The placeholder key: upper case, runs of other characters as one underscore, none at the ends."""
     return F.regexp_replace(F.regexp_replace(F.upper(label), "[^A-Z0-9]+", "_"), "^_+|_+$", "")
@@ -46,7 +100,7 @@ def label_key(label: str) -> str:
 
 def valid(spans: Column, text: Column) -> Column:
     """Without spans that are empty, reversed or out of range."""
-    return F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= F.length(text)))
+    return bound(F.length(text), lambda n: F.filter(spans, lambda s: (s["start"] >= 0) & (s["end"] > s["start"]) & (s["end"] <= n)))
 
 
 def _escaped(chars: str) -> str:
@@ -56,27 +110,23 @@ def _escaped(chars: str) -> str:
 def trimmed(spans: Column, text: Column) -> Column:
     """Edges moved past white space and punctuation; spans that trim to nothing go."""
 
-    def trim(s):
-        covered = part(text, s["start"], s["end"])
+    def trim(s, chunks):
+        covered = cut(chunks, s["start"], s["end"])
         start = s["start"] + F.length(F.regexp_extract(covered, rf"(?U)^[\s{_escaped(LEADING)}]*", 0))
-        kept = part(text, start, s["end"])
-        return span(start, s["end"] - F.length(F.regexp_extract(kept, rf"(?U)[\s{_escaped(TRAILING)}]*$", 0)), s["label"])
+        kept = cut(chunks, start, s["end"])
+        return span(start, s["end"] - F.length(F.regexp_extract(kept, rf"(?U)(?<![\s{_escaped(TRAILING)}])[\s{_escaped(TRAILING)}]*$", 0)), s["label"])
 
-    return F.filter(F.transform(spans, trim), lambda s: s["end"] > s["start"])
+    return bound(chunked(text), lambda chunks: F.filter(F.transform(spans, lambda s: trim(s, chunks)), lambda s: s["end"] > s["start"]))
 
 
 def markers(text: Column, pattern: str = MARKER) -> Column:
     """Spans of the framing in a joined text."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end")))).alias("out"))
 
-    return F.aggregate(F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), g.alias("g"))), zero, step, lambda a: a["out"])
+def framing(text: Column) -> Column:
+    """:func:`markers`, without a walk over the many texts that have none."""
+    return F.when(text.contains(RS * 2), markers(text)).when(text.isNotNull(), F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def around(spans: Column, barred: Column) -> Column:
@@ -97,47 +147,56 @@ def around(spans: Column, barred: Column) -> Column:
 
 def not_equal_to(spans: Column, text: Column, protected: Column) -> Column:
     """Without spans whose whole text is one of the protected strings."""
-    return F.filter(spans, lambda s: ~F.array_contains(protected, part(text, s["start"], s["end"])))
+    return bound(chunked(text), lambda chunks: F.filter(spans, lambda s: ~F.array_contains(protected, cut(chunks, s["start"], s["end"]))))
 
 
 def merged(spans: Column) -> Column:
     """Spans that overlap or touch become one, with the label of the first; the order of equal starts is that given."""
     numbered = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), i.alias("i"), s["end"].alias("end"), s["label"].alias("label")))
+    zero = F.struct(F.lit(None).cast(SPAN).alias("last"), none().alias("out"))
 
     def join(acc, s):
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.when(
-            last.isNotNull() & (s["start"] <= last["end"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(span(last["start"], F.greatest(last["end"], s["end"]), last["label"]))),
-        ).otherwise(F.concat(acc, F.array(span(s["start"], s["end"], s["label"]))))
+        last = acc["last"]
+        joins = last.isNotNull() & (s["start"] <= last["end"])
+        longer = F.when(joins, span(last["start"], F.greatest(last["end"], s["end"]), last["label"])).otherwise(span(s["start"], s["end"], s["label"]))
+        return F.struct(longer.alias("last"), F.when(joins | last.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(last))).alias("out"))
 
-    return F.aggregate(F.array_sort(numbered), none(), join)
+    def block(acc, some):
+        inner = F.aggregate(some, F.struct(acc["last"].alias("last"), none().alias("out")), join)
+        return bound(inner, lambda x: F.struct(x["last"].alias("last"), F.concat(acc["out"], x["out"]).alias("out")))
 
+    whole = lambda ordered: F.aggregate(blocks(ordered), zero, block, lambda acc: F.concat(acc["out"], F.array(acc["last"])))
+    return F.when(F.size(spans) > 0, bound(F.array_sort(numbered), whole)).when(spans.isNotNull(), none())
 
-def numbered(spans: Column, keys: Column) -> Column:
-    """array<struct<start,end,label,token>>: placeholders numbered by key in reading order. keys: :func:`key_of` each label.
 
-    Both should be columns, not expressions, as each span looks back over the keys.
-    """
+def numbered(spans: Column, keys: Column) -> Column:
+    """array<struct<start,end,label,token>>: placeholders numbered by key in reading order. keys: :func:`key_of` each label."""
+    placed = F.zip_with(F.transform(spans, lambda s, i: F.struct(i.alias("i"), s.alias("s"))), keys, lambda x, k: F.struct(x["i"].alias("i"), x["s"].alias("s"), k.alias("k")))
 
-    def one(s, i):
-        key = F.element_at(keys, i + 1)
-        n = F.size(F.filter(F.slice(keys, F.lit(1), i + 1), lambda k: k == key))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label"), F.concat(F.lit("["), key, F.lit("_"), n.cast("string"), F.lit("]")).alias("token"))
+    def one(x, n):
+        token = F.concat(F.lit("["), x["k"], F.lit("_"), (n + 1).cast("string"), F.lit("]"))
+        return F.struct(x["i"].alias("i"), x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["label"].alias("label"), token.alias("token"))
 
-    return F.transform(spans, one)
+    # By key, of which there are as many as labels, then back into their order.
+    each = bound(placed, lambda all_: F.flatten(F.transform(F.array_distinct(keys), lambda k: F.transform(F.filter(all_, lambda x: x["k"] == k), one))))
+    return F.transform(F.array_sort(each), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), x["token"].alias("token")))
 
 
 def spliced(text: Column, tokens: Column) -> Column:
-    """The text with each span replaced by its token, left to right."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], part(text, acc["at"], s["start"]), s["token"]).alias("out"))
-    return F.aggregate(tokens, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """The text with each span replaced by its token. tokens should be a column, as each span looks at the one before."""
+
+    def pieces(chunks):
+        before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(tokens, i)["end"])
+        each = F.transform(tokens, lambda s, i: F.concat(cut(chunks, before(i), s["start"]), s["token"]))
+        tail = cut(chunks, F.coalesce(F.try_element_at(tokens, F.lit(-1))["end"], F.lit(0)), F.length(text))
+        return F.concat(F.array_join(each, ""), tail)
+
+    return F.when(text.isNotNull(), bound(chunked(text), pieces))
 
 
 def restore_map(text: Column, tokens: Column) -> Column:
     """placeholder -> original."""
-    return F.map_from_entries(F.transform(tokens, lambda s: F.struct(s["token"], part(text, s["start"], s["end"]))))
+    return bound(chunked(text), lambda chunks: F.map_from_entries(F.transform(tokens, lambda s: F.struct(s["token"], cut(chunks, s["start"], s["end"])))))
 
 
 def scrub_pattern(labels: tuple[str, ...] | None = LABELS) -> str:

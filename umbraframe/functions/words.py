@@ -2,27 +2,74 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Emoji by ranges of the Unicode blocks that hold them, and their joiners.
-EMOJI = r"(?U)^(?:[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{3030}\x{303D}\x{3297}\x{3299}\x{00A9}\x{00AE}][\x{FE0F}\x{200D}\x{20E3}\x{1F3FB}-\x{1F3FF}]*)+$"
+from umbraframe.functions.shipping import ship
+
+#: Emoji by ranges of the Unicode blocks that hold them, and what joins or modifies them, for Java and Python.
+EMOJI_RANGES = ((0x1F000, 0x1FAFF), (0x2600, 0x27BF), (0x2190, 0x21FF), (0x2300, 0x23FF), (0x2B00, 0x2BFF), (0x3030, 0x3030), (0x303D, 0x303D), (0x3297, 0x3297), (0x3299, 0x3299), (0xA9, 0xA9), (0xAE, 0xAE))
+JOINER_RANGES = ((0xFE0F, 0xFE0F), (0x200D, 0x200D), (0x20E3, 0x20E3), (0x1F3FB, 0x1F3FF))
+
+
+def _java(ranges) -> str:
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _python(ranges) -> str:
+    return "[" + "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in ranges) + "]"
+
+
+EMOJI = f"^(?:{_java(EMOJI_RANGES)}{_java(JOINER_RANGES)}*)+$"
+EMOJI_PYTHON = re.compile(f"(?:{_python(EMOJI_RANGES)}{_python(JOINER_RANGES)}*)+")
 NEUTRAL = "-"
 MAX_WIDTH = 12
 
 WORD_TYPE = "array<struct<text:string,start:int,end:int>>"
+# The code points with Unicode's White_Space property.
+_WHITE = np.array([*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+
+
+def found_words(texts: list[str | None]) -> pa.Array:
+    """Of each text its words with their places, all texts at once: words are the runs of what is no white space.
+
+    Texts are joined by a line feed, so no word crosses two of them, and a word's bytes are what stays of the joined text.
+    """
+    joined = "".join(t + "\n" for t in texts if t is not None)
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    white = np.zeros(0x3001, bool)
+    white[_WHITE] = True
+    word = ~(white[np.minimum(points, 0x3000)] & (points <= 0x3000))
+    edges = np.diff(np.concatenate([[0], word.view(np.int8), [0]]))
+    starts, ends = np.nonzero(edges == 1)[0], np.nonzero(edges == -1)[0]
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    upto = np.concatenate([[0], np.cumsum(np.where(word, width, 0))])
+    data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)[np.repeat(word, width)]
+    offsets = np.concatenate([upto[starts], upto[-1:]]).astype(np.int64)
+    text = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+    lengths = np.array([0 if t is None else len(t) + 1 for t in texts], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    per_text = np.searchsorted(starts, np.concatenate([begins, [len(points)]]))
+    base = np.repeat(begins, np.diff(per_text))
+    each = pa.StructArray.from_arrays([text.cast(pa.string()), pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], ["text", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), each)
 
 
 def words_with_offsets(text: Column) -> Column:
     """Words with their places, in time linear in the text; none for null."""
 
-    @F.pandas_udf(WORD_TYPE)
-    def found(texts: pd.Series) -> pd.Series:
-        import regex
+    ship()
 
-        word = regex.compile(r"\S+")
-        return texts.map(lambda t: [] if t is None else [{"text": m.group(), "start": m.start(), "end": m.end()} for m in word.finditer(t)])
+    @F.arrow_udf(WORD_TYPE)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield found_words(texts.to_pylist())
 
     return found(text)
 
@@ -65,6 +112,8 @@ def plan(counts: list[int], capacity: int, max_width: int = MAX_WIDTH) -> list[t
 
 
 def window_plan(counts: Column, capacity: int, max_width: int = MAX_WIDTH) -> Column:
+    ship()
+
     @F.pandas_udf("array<struct<first:int,last:int>>")
     def planned(x: pd.Series) -> pd.Series:
         def one(c):

@@ -6,25 +6,39 @@ a model's recall. ``LogitsDetector`` decodes scores that a model has given. ``On
 
 from __future__ import annotations
 
+import threading
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbraframe.functions import spans as S
-from umbraframe.functions.words import MAX_WIDTH, NEUTRAL, plan, preamble_length
+from umbraframe.functions.shipping import ship
+from umbraframe.functions.words import EMOJI_PYTHON, MAX_WIDTH, NEUTRAL, found_words, plan, preamble_length
+from umbraframe.logs import LOG
+from umbraframe.sources.models import ModelPin, verified
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: label -> pattern, in the order in which ties are resolved. They read alike in Java, RE2 and Python.
 RULES = {
     "email address": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "ip address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
+    "ip address": rf"\b{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\b",
     "phone number": r"\+[0-9]{1,2} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
     "access token": r"[0-9a-f]{40}",
 }
+#: pattern -> (one with the same matches that never starts inside a run nor gives back, so it is linear in unbroken text; what each match holds).
+_LOCAL = "[A-Za-z0-9._%+-]"
+FASTER = {
+    RULES["email address"]: (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
+    # Java's \b counts other letters than ASCII's.
+    RULES["ip address"]: (rf"(?<![0-9A-Za-z_]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![0-9A-Za-z_])", "."),
+    RULES["phone number"]: (RULES["phone number"], "+"),
+}
 THRESHOLD = 0.1
 MAX_INPUT_TOKENS = 2_000
 MAX_SEQUENCE = 768
@@ -37,13 +51,26 @@ class Detector(Protocol):
 
 
 def pattern_spans(text: Column, pattern: str, label: str) -> Column:
-    return F.transform(S.markers(text, pattern), lambda m: S.span(m["start"], m["end"], F.lit(label)))
+    faster, held = FASTER.get(pattern, (pattern, None))
+    found = F.transform(S.matches(text, faster), lambda m: S.span(m["start"], m["end"], F.lit(label)))
+    return found if held is None else F.when(text.contains(held), found).when(text.isNotNull(), S.none())
+
+
+def distinct_keys(labels: tuple[str, ...]) -> tuple[str, ...]:
+    """The labels; refused where two have one placeholder key, or one has none, as their originals could not be told apart."""
+    keys = [S.label_key(x) for x in labels]
+    if not all(keys) or len(set(keys)) < len(keys):
+        raise ValueError("labels whose placeholder keys are empty or collide")
+    return labels
 
 
 @dataclass(frozen=True)
 class RuleDetector:
     rules: dict[str, str] = field(default_factory=lambda: dict(RULES))
 
+    def __post_init__(self):
+        distinct_keys(tuple(self.rules))
+
     def __call__(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         text = F.coalesce(F.col(text_col), F.lit(""))
         return df.withColumn("spans", F.concat(*[pattern_spans(text, p, k) for k, p in self.rules.items()]))
@@ -57,7 +84,8 @@ def sigmoid32(x: Column) -> Column:
 def decode_logits(scores: DataFrame, words: DataFrame, labels: tuple[str, ...], threshold: float = THRESHOLD) -> DataFrame:
     """(id, start, end, label, score) over the threshold (strictly).
 
-    scores: id, window, first_word, n_words (of the window), start_word, width, label_index, logit; words: id, pos, start, end.
+    scores: id, window, first_word, n_words (of the window), start_word, width, label_index, logit; words: id, pos, start, end. Where
+    words has a column is_emoji, spans of emoji only are dropped.
     """
     label_of = F.array(*[F.lit(x) for x in labels])
     kept = (
@@ -66,9 +94,14 @@ def decode_logits(scores: DataFrame, words: DataFrame, labels: tuple[str, ...],
         .withColumn("a", F.col("first_word") + F.col("start_word"))
         .withColumn("b", F.col("a") + F.col("width"))
     )
-    a = words.select("id", F.col("pos").alias("a"), F.col("start"))
-    b = words.select("id", F.col("pos").alias("b"), F.col("end"))
-    return kept.join(a, ["id", "a"]).join(b, ["id", "b"]).select("id", "start", "end", F.element_at(label_of, F.col("label_index") + 1).alias("label"), "score", "window", "start_word", "width", "label_index")
+    if "is_emoji" in words.columns:  # words that are no emoji up to and before each word: a span has one if they differ
+        upto = F.sum((~F.col("is_emoji")).cast("int")).over(Window.partitionBy("id").orderBy("pos"))
+        words = words.withColumn("_upto", upto).withColumn("_before", F.col("_upto") - (~F.col("is_emoji")).cast("int"))
+    else:
+        words = words.withColumn("_before", F.lit(0)).withColumn("_upto", F.lit(1))
+    a = words.select("id", F.col("pos").alias("a"), "start", "_before")
+    b = words.select("id", F.col("pos").alias("b"), "end", "_upto")
+    return kept.join(a, ["id", "a"]).join(b, ["id", "b"]).filter("_upto > _before").select("id", "start", "end", F.element_at(label_of, F.col("label_index") + 1).alias("label"), "score", "window", "start_word", "width", "label_index")
 
 
 @dataclass(frozen=True)
@@ -81,6 +114,9 @@ class LogitsDetector:
     logits_col: str = "logits"
     words_col: str = "words"
 
+    def __post_init__(self):
+        distinct_keys(self.labels)
+
     def __call__(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         n, w, words = len(self.labels), self.max_width, F.col(self.words_col)
         label_of = F.array(*[F.lit(x) for x in self.labels])
@@ -129,9 +165,17 @@ def decode_window(logits: np.ndarray, n_words: int, labels: int, threshold: floa
 _SESSIONS: dict[tuple[str, str], tuple] = {}
 
 
+class Late(Exception):
+    """A pass went over its time."""
+
+
 @dataclass(frozen=True)
 class OnnxDetector:
-    """A span model in Arrow batches. Any failure of a row gives null spans, never a guess; a missing model fails all rows."""
+    """A span model in Arrow batches. Any failure of a row gives null spans, never a guess; a missing model fails all rows.
+
+    With a ``pin`` the files' hashes are checked at each load, before the first row. With a ``timeout`` in seconds (off by default,
+    as its outcome depends on the machine) a row's pass ends at a window's end or within the model's call, and ``_timed_out`` is true.
+    """
 
     model_dir: str
     version: str = ""
@@ -140,11 +184,19 @@ class OnnxDetector:
     max_input_tokens: int = MAX_INPUT_TOKENS
     max_sequence: int = MAX_SEQUENCE
     max_width: int = MAX_WIDTH
+    pin: ModelPin | None = None
+    timeout: float | None = None
+
+    def __post_init__(self):
+        distinct_keys(self.labels)
 
     def session(self) -> tuple:
-        """(session, tokenizer) of this Python worker, loaded again when the version changes."""
+        """(session, tokenizer) of this Python worker, loaded again when the version changes. Only files of the pin are loaded."""
         key = (self.model_dir, self.version)
         if key not in _SESSIONS:
+            if self.pin is not None and not verified(self.model_dir, self.pin):
+                LOG.error("the model's files are not those of the pin %s", self.pin.version)
+                raise ValueError("the model's files are not those of the pin")
             import onnxruntime
             from tokenizers import Tokenizer
 
@@ -154,15 +206,31 @@ class OnnxDetector:
             _SESSIONS[key] = (onnxruntime.InferenceSession(f"{self.model_dir}/model.onnx", options), Tokenizer.from_file(f"{self.model_dir}/tokenizer.json"))
         return _SESSIONS[key]
 
-    def detect(self, text: str, run, encode) -> list[dict] | None:
-        """Spans of one text; run(inputs) gives logits, encode(words) the ids of each."""
-        import regex
+    def runner(self, session):
+        """run(inputs, seconds left or None): the model's logits; past that time the call is told to end."""
+        import onnxruntime
+
+        def run(inputs, left):
+            if left is None:
+                return session.run(None, inputs)[0]
+            options = onnxruntime.RunOptions()
+            watch = threading.Timer(left, lambda: setattr(options, "terminate", True))
+            watch.start()
+            try:
+                return session.run(None, inputs, options)[0]
+            finally:
+                watch.cancel()
+
+        return run
 
-        found = [(m.group(), m.start(), m.end()) for m in regex.finditer(r"\S+", text)]
+    def detect(self, text: str, run, encode, clock=time.monotonic) -> list[dict] | None:
+        """Spans of one text; run(inputs, seconds left) gives logits, encode(words) the ids of each. Raises :class:`Late`."""
+        deadline = None if self.timeout is None else clock() + self.timeout
+        found = found_words([text])[0].as_py()
         if not found:
             return []
-        emoji = [bool(regex.fullmatch(r"[\p{Extended_Pictographic}\p{Emoji_Modifier}\u200D\uFE0F\p{Regional_Indicator}]+", w)) for w, _, _ in found]
-        ids = encode([NEUTRAL if e else w for (w, _, _), e in zip(found, emoji, strict=True)])
+        emoji = [bool(EMOJI_PYTHON.fullmatch(w["text"])) for w in found]
+        ids = encode([NEUTRAL if e else w["text"] for w, e in zip(found, emoji, strict=True)])
         label_ids = encode(list(self.labels))
         counts = [len(x) for x in ids]
         windows = None if sum(counts) > self.max_input_tokens else plan(counts, self.max_sequence - preamble_length([len(x) for x in label_ids]), self.max_width)
@@ -170,33 +238,49 @@ class OnnxDetector:
             return None
         out = []
         for first, last in windows:
+            left = None if deadline is None else deadline - clock()
+            if left is not None and left <= 0:
+                raise Late
             inputs = build_inputs(label_ids, ids[first:last], self.max_width)
             if inputs["input_ids"].shape[1] > self.max_sequence:
                 return None
-            for a, b, k in decode_window(run(inputs), last - first, len(self.labels), self.threshold, self.max_width):
+            try:
+                logits = run(inputs, left)
+            except Exception as e:
+                if deadline is not None and clock() >= deadline:
+                    raise Late from e
+                raise
+            for a, b, k in decode_window(logits, last - first, len(self.labels), self.threshold, self.max_width):
                 if not all(emoji[first + a : first + b + 1]):
-                    out.append({"start": found[first + a][1], "end": found[first + b][2], "label": self.labels[k]})
+                    out.append({"start": found[first + a]["start"], "end": found[first + b]["end"], "label": self.labels[k]})
+        if deadline is not None and clock() > deadline:
+            raise Late
         return out
 
     def __call__(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        @F.pandas_udf(S.SPANS)
-        def detected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ship(df.sparkSession)
+
+        @F.pandas_udf(f"struct<spans:{S.SPANS},late:boolean>")
+        def detected(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             try:
                 session, tokenizer = self.session()
-            except Exception:  # no model: every row fails closed
+                run = self.runner(session)
+            except Exception as e:  # no model: every row fails closed
+                LOG.error("no model could be loaded: %s", type(e).__name__)
                 session = None
 
             def one(text):
                 if session is None or text is None:
-                    return None
+                    return None, False
                 try:
-                    return self.detect(text, lambda x: session.run(None, x)[0], lambda ws: [e.ids for e in tokenizer.encode_batch(ws, add_special_tokens=False)])
-                except Exception:  # the row fails closed
-                    return None
+                    return self.detect(text, run, lambda ws: [e.ids for e in tokenizer.encode_batch(ws, add_special_tokens=False)]), False
+                except Late:
+                    return None, True
+                except Exception as e:  # the row fails closed
+                    LOG.warning("a row failed: %s", type(e).__name__)
+                    return None, False
 
             for texts in batches:
-                yield texts.map(one)
-
-        return df.withColumn("spans", detected(F.col(text_col)))
-
+                yield pd.DataFrame([one(t) for t in texts], columns=["spans", "late"])
 
+        return df.withColumn("_detected", detected(F.col(text_col))).withColumn("spans", F.col("_detected.spans")).withColumn("_timed_out", F.col("_detected.late")).drop("_detected")

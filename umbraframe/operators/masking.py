@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraframe.functions import spans as S
 from umbraframe.functions.names import FULL, mask_name
+from umbraframe.functions.words import subword_counts, words
 from umbraframe.operators.detect import Detector, RuleDetector
 
 SEND, FAILED, TIMED_OUT, SMUGGLED, OVER_BUDGET = "send", "drop_filter_failed", "drop_timed_out", "drop_separator", "drop_budget"
@@ -18,7 +21,7 @@ def with_tokens(df: DataFrame, text_col: str = "text", spans_col: str = "spans",
     In steps, as a lambda would evaluate an expression that it names again for each span.
     """
     text = F.col(text_col)
-    df = df.withColumn("_valid", S.valid(F.col(spans_col), text)).withColumn("_bars", S.markers(text))
+    df = df.withColumn("_valid", S.valid(F.col(spans_col), text)).withColumn("_bars", S.framing(text))
     free = S.around(F.col("_valid"), F.col("_bars")) if protected is None else S.not_equal_to(F.col("_valid"), text, protected)
     df = df.withColumn("_merged", S.merged(S.trimmed(free, text)))
     df = df.withColumn("_keys", F.transform("_merged", lambda s: S.key_of(s["label"])))
@@ -32,9 +35,11 @@ def mask_spans(df: DataFrame, text_col: str = "text", spans_col: str = "spans",
     return tokens.withColumn("masked", S.spliced(text, F.col("_tokens"))).withColumn("restore", F.when(text.isNotNull(), S.restore_map(text, F.col("_tokens")))).drop("_tokens")
 
 
-def mask_fields(df: DataFrame, fields_col: str = "fields", detector: Detector | None = None, words_cap: int | None = None) -> DataFrame:
+def mask_fields(df: DataFrame, fields_col: str = "fields", detector: Detector | None = None, words_cap: int | None = None, tokens_cap: int | None = None, tokenizer: str | None = None) -> DataFrame:
     """The fields of a row masked together: adds ``status``, ``masked_fields`` and ``restore``; input columns but the fields stay.
 
+    A budget counts the words of all fields and their framing (``words_cap``), or their subwords by a tokenizer file (``tokens_cap``).
+
     A request with the separator inside a field is refused before detection; one whose framing does not survive is dropped.
     No fields are a success with no fields.
     """
@@ -44,17 +49,21 @@ def mask_fields(df: DataFrame, fields_col: str = "fields", detector: Detector |
     blob = blob.withColumn("_early", F.when(fields.isNull() | F.exists(fields, lambda f: f.isNull()), FAILED).when(~intact, SMUGGLED))
     if words_cap is not None:
         blob = blob.withColumn("_early", F.coalesce("_early", F.when(F.size(F.regexp_extract_all("_blob", F.lit(r"(?U)\S+"), F.lit(0))) > words_cap, OVER_BUDGET)))
+    if tokens_cap is not None:
+        counted = subword_counts(tokenizer)(words(F.when(F.col("_early").isNull(), F.col("_blob"))))
+        blob = blob.withColumn("_early", F.coalesce("_early", F.when(F.aggregate(counted, F.lit(0), lambda a, n: a + n) > tokens_cap, OVER_BUDGET)))
     # A refused row has no text from here on.
     blob = blob.withColumn("_blob", F.when(F.col("_early").isNull(), F.col("_blob"))).drop(fields_col)
     found = (detector or RuleDetector())(blob, "_blob").withColumnRenamed("spans", "_spans")
-    masked = mask_spans(found, "_blob", "_spans").withColumn("masked_fields", S.split_fields(F.col("masked"), F.col("_n")))
-    status = F.when(F.col("_n") == 0, SEND).when(F.col("_early").isNotNull(), F.col("_early")).when(F.col("masked_fields").isNull(), FAILED).otherwise(SEND)
+    late = F.coalesce("_timed_out", F.lit(False)) if "_timed_out" in found.columns else F.lit(False)
+    masked = mask_spans(found.withColumn("_late", late), "_blob", "_spans").withColumn("masked_fields", S.split_fields(F.col("masked"), F.col("_n")))
+    status = F.when(F.col("_n") == 0, SEND).when(F.col("_early").isNotNull(), F.col("_early")).when(F.col("_late"), TIMED_OUT).when(F.col("masked_fields").isNull(), FAILED).otherwise(SEND)
     masked = masked.withColumn("status", status)
     sent = F.col("status") == SEND
     return (
         masked.withColumn("masked_fields", F.when(F.col("_n") == 0, F.array().cast("array<string>")).when(sent, F.col("masked_fields")))
         .withColumn("restore", F.when(sent, F.coalesce("restore", F.create_map().cast("map<string,string>"))))
-        .drop("_blob", "_n", "_early", "_spans", "masked")
+        .drop("_blob", "_n", "_early", "_spans", "_late", "_timed_out", "masked")
     )
 
 
@@ -62,7 +71,7 @@ def sanitize(df: DataFrame, text_col: str = "text", detector: Detector | None =
     """One text a row: outer white space trimmed, the user's name masked, then its spans. Blank text gives null."""
     text = mask_name(F.regexp_replace(F.col(text_col), r"(?U)^\s+|\s+$", ""), first, last, FULL)
     df = df.withColumn("_text", F.when(text != "", text))
-    found = (detector or RuleDetector())(df, "_text").withColumnRenamed("spans", "_spans")
+    found = (detector or RuleDetector())(df, "_text").withColumnRenamed("spans", "_spans").drop("_timed_out")
     found = found.withColumn("_spans", F.when(F.col("_text").isNotNull(), F.col("_spans")))
     return mask_spans(found, "_text", "_spans", F.array(*[F.lit(p) for p in protected]).cast("array<string>")).drop("_text", "_spans")
 
@@ -90,3 +99,23 @@ def probe(df: DataFrame, anchors: tuple[str, ...], covered_col: str = "covered",
     covered = F.coalesce(F.col(covered_col), F.array().cast("array<string>"))
     found = F.filter(all_anchors, lambda a: F.exists(covered, lambda c: c.contains(a)))
     return df.withColumn("ran", F.col(covered_col).isNotNull()).withColumn("found", found).withColumn("missed", F.array_except(all_anchors, found)).withColumn("passes", F.col("ran") & (F.size("found") >= least))
+
+
+def probe_run(spark: SparkSession, detector: Detector, text: str, anchors: tuple[str, ...], least: int = 2) -> tuple[bool, int]:
+    """(ran, anchors found) of one planted text through a detector, as a rollback's probe takes it."""
+    found = detector(spark.createDataFrame([(text,)], "text string"), "text")
+    row = probe(found.withColumn("covered", F.transform("spans", lambda s: S.part(F.col("text"), s["start"], s["end"]))), anchors, least=least).first()
+    return row.ran, len(row.found)
+
+
+def cancellable(spark: SparkSession, tag: str, run: Callable[[], object]) -> object:
+    """run() with its jobs under a tag: :func:`cancel` from another thread ends it by an error, never by a partial result."""
+    spark.sparkContext.addJobTag(tag)
+    try:
+        return run()
+    finally:
+        spark.sparkContext.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    spark.sparkContext.cancelJobsWithTag(tag)

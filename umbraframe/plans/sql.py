@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from umbraframe.functions.spans import LABELS, label_key
+from umbraframe.functions.words import EMOJI_RANGES, JOINER_RANGES, MAX_WIDTH
 from umbraframe.operators.detect import RULES
-from umbraframe.plans.queries import BUDGET, CAP, FIRST, HEADER
+from umbraframe.plans.queries import BUDGET, CAP, EMOJI, FIRST, HEADER, LAST, SUBWORD
 from umbraframe.sources.models import RESERVED
 
 DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
@@ -44,10 +45,65 @@ SEP = "' ' || chr(30) || chr(30) || chr(30) || ' '"
 WIDE = """wide AS (SELECT doc_id, text, i, ord, label, start, "end" FROM spans UNION ALL SELECT doc_id, text, i, ord + 10, 'address', start + 5, CAST(least("end" + 30, length(text)) AS INTEGER) FROM spans)"""
 RULE_ORDER = "CASE label " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(LABELS)) + " END"
 
+WORDS = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS i, string_split_regex(text, '\S+') AS gs FROM docs),
+  o AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, word, CAST(sum(length(word) + length(gs[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) AS e FROM w),
+  words AS (SELECT doc_id, pos, word, CAST(e - length(word) AS INTEGER) AS s, e FROM o)"""
+# Windows of words whose subwords fit: where a window that begins at a word ends, then from each window to the next.
+PLAN = f"""counted AS (SELECT doc_id, pos, CAST(ceil(length(word) / {SUBWORD}.0) AS BIGINT) AS n FROM words),
+  fit AS (SELECT doc_id FROM counted GROUP BY doc_id HAVING max(n) <= {{cap}}),
+  b AS (SELECT doc_id, pos, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS b FROM counted SEMI JOIN fit USING (doc_id)
+        UNION ALL SELECT doc_id, count(*), sum(n) FROM counted SEMI JOIN fit USING (doc_id) GROUP BY doc_id),
+  ends AS (SELECT doc_id, pos, CAST(max(pos) OVER (PARTITION BY doc_id ORDER BY b RANGE BETWEEN CURRENT ROW AND {{cap}} FOLLOWING) AS BIGINT) AS last, max(pos) OVER (PARTITION BY doc_id) AS n FROM b),
+  windows AS (WITH RECURSIVE r AS (SELECT doc_id, 0 AS w, CAST(0 AS BIGINT) AS first, last, n FROM ends WHERE pos = 0 AND n > 0
+        UNION ALL SELECT r.doc_id, r.w + 1, e.pos, e.last, r.n FROM r JOIN ends e ON e.doc_id = r.doc_id AND e.pos = greatest(r.first + 1, r.last - least({MAX_WIDTH} - 1, r.last - r.first - 1)) WHERE r.last < r.n)
+      SELECT doc_id, CAST(w AS INTEGER) AS w, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM r)"""
+_CLASS = lambda ranges: "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+EMOJI_WORDS = f"""emoji AS (SELECT doc_id, pos, CASE WHEN pos % 7 < 2 THEN [{", ".join(f"'{e}'" for e in EMOJI)}][1 + (pos // 7) % {len(EMOJI)}] ELSE word END AS word, s, e FROM words),
+  marked AS (SELECT *, regexp_matches(word, '^(?:{_CLASS(EMOJI_RANGES)}{_CLASS(JOINER_RANGES)}*)+$') AS is_emoji FROM emoji)"""
+#: A name that stands alone, by what may not stand beside it; twice, as one match takes what stands before the next.
+def named(text: str, forms: str, token: str = "[USER]") -> str:
+    once = "regexp_replace({}, '(^|[^\\pL\\pN_])(?i:" + forms + r")($|[^\pL\pN_])', '\1" + token + r"\2', 'g')"
+    return once.format(once.format(text))
+
+
+_G, _F = FIRST, LAST
+FULL_FORMS = rf"{_G}\s+{_F}|{_F},?\s+{_G}|{_G[0]}\.?\s+{_F}|{_G}{_F}|{_G}\.{_F}"
+GIVEN = rf"replace(regexp_replace(regexp_replace({{}}, '\b((?i:{FIRST})\s+\p{{{{Lu}}}})', chr(1) || '\1', 'g'), '(^|[^\pL\pN_\x01])(?i:{FIRST})($|[^\pL\pN_])', '\1[USER]\2', 'g'), chr(1), '')"
+CUTS = r"""(SELECT doc_id, label, start, ps, ms, CAST(unnest(range(1, len(ps) + 1)) AS INTEGER) AS j FROM
+  (SELECT doc_id, label, start, string_split_regex(substr(text, start + 1, "end" - start), '[ \n]+') AS ps, regexp_extract_all(substr(text, start + 1, "end" - start), '[ \n]+') AS ms FROM wide))"""
+_AT = "start + coalesce(list_sum(list_transform(ps[1:j-1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:j-1], lambda x: length(x))), 0)"
+
 SQL = {
     "words_with_offsets": rf"WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS i, string_split_regex(text, '\S+') AS gs FROM docs), o AS (SELECT *, CAST(sum(length(word) + length(gs[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) AS e FROM w) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, word, CAST(e - length(word) AS INTEGER) AS start, e AS \"end\" FROM o".replace('\\"', '"'),
     "word_count_budget": rf"WITH {DOCS} SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS n, CASE WHEN n = 0 THEN 'empty' WHEN n > {BUDGET} THEN 'drop_budget' ELSE 'send' END AS status FROM docs",
-    "window_plan": rf"WITH {DOCS}, n AS (SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n FROM docs), w AS (SELECT doc_id, n, unnest(range(0, CASE WHEN n = 0 THEN 0 WHEN n <= {CAP} THEN 1 ELSE 1 + CAST(ceil((n - {CAP}) / {CAP - 11}.0) AS BIGINT) END)) AS w FROM n) SELECT doc_id, CAST(w AS INTEGER) AS w, CAST(w * {CAP - 11} AS INTEGER) AS first, CAST(least(n, w * {CAP - 11} + {CAP}) AS INTEGER) AS last FROM w",
+    "window_plan": f"WITH {DOCS}, {WORDS}, {PLAN.format(cap=CAP)} SELECT doc_id, w, first, last FROM windows",
+    "window_budget": f"WITH {DOCS}, {WORDS}, c AS (SELECT doc_id, sum(CAST(ceil(length(word) / {SUBWORD}.0) AS INTEGER)) AS t, max(ceil(length(word) / {SUBWORD}.0)) AS m FROM words GROUP BY doc_id) SELECT doc_id, CAST(coalesce(t, 0) AS INTEGER) AS n_tokens, CASE WHEN coalesce(t, 0) > {BUDGET * 2} THEN 'drop_budget' WHEN coalesce(m, 0) > {CAP // 50} THEN 'drop_filter_failed' ELSE 'send' END AS status FROM docs LEFT JOIN c USING (doc_id)",
+    "preamble_lengths": rf"WITH {TURNS} SELECT conv_id, CAST(3 + list_sum(list_transform(fields, lambda t: 1 + len(regexp_extract_all(t, '\S+')))) AS BIGINT) AS n_tokens FROM turns",
+    "model_inputs": f"""WITH {DOCS}, {WORDS}, {PLAN.format(cap=CAP)}, x AS (SELECT w.doc_id, w.w, c.pos - w.first AS k, w.last - w.first AS n, c.n AS t FROM windows w JOIN counted c ON c.doc_id = w.doc_id AND c.pos >= w.first AND c.pos < w.last)
+      SELECT doc_id, w, CAST(sum(t) + 8 AS BIGINT) AS n_ids, CAST(sum(least({MAX_WIDTH}, n - k)) AS BIGINT) AS n_spans, CAST(sum(least({MAX_WIDTH}, n - k) * k + least({MAX_WIDTH}, n - k) * (least({MAX_WIDTH}, n - k) - 1) // 2) AS BIGINT) AS sum_last, CAST(sum(k + 1) AS BIGINT) AS sum_words FROM x GROUP BY doc_id, w""",
+    "neutral_words": f"WITH {DOCS}, {WORDS}, {EMOJI_WORDS} SELECT doc_id, pos, is_emoji, CASE WHEN is_emoji THEN '-' ELSE word END AS encoded FROM marked",
+    "emoji_spans": f"""WITH {DOCS}, {WORDS}, {EMOJI_WORDS}, x AS (SELECT a.doc_id, a.pos, a.s, b.e, b.pos - a.pos AS width FROM marked a JOIN marked b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos <= a.pos + 2)
+      SELECT DISTINCT x.doc_id, x.s AS start, x.e AS "end", CAST(width AS INTEGER) AS width FROM x JOIN marked m ON m.doc_id = x.doc_id AND m.pos >= x.pos AND m.pos <= x.pos + x.width WHERE NOT m.is_emoji""",
+    "protect_markers": f"""WITH {DOCS}, {spans()}, {WIDE} SELECT doc_id, CAST({_AT} AS INTEGER) AS start, CAST({_AT} + length(ps[j]) AS INTEGER) AS "end", label FROM {CUTS} WHERE ps[j] <> ''""",
+    "protect_exact": f"""WITH {DOCS}, {spans()}, {WIDE}, f AS (SELECT doc_id, arg_min(substr(text, start + 1, "end" - start), ord * 1000000 + i) AS t FROM spans GROUP BY doc_id)
+      SELECT doc_id, start, "end", label FROM wide JOIN f USING (doc_id) WHERE substr(text, start + 1, "end" - start) <> t""",
+    "valid_spans": f"""WITH {DOCS}, {spans()} SELECT doc_id, start, "end", label FROM spans UNION ALL SELECT doc_id, start, CASE start % 4 WHEN 3 THEN CAST(length(text) AS INTEGER) ELSE "end" END, label FROM spans WHERE start % 4 = 3 AND start % 2 = 0""",
+    "restore_map_order": MASK + "SELECT m.doc_id, coalesce((SELECT string_agg(token, ',' ORDER BY token) FROM tokens t WHERE t.doc_id = m.doc_id), '') AS placeholders FROM masked m",
+    "replies_join": MASK + f"SELECT doc_id, text AS restored FROM docs UNION ALL SELECT -1 - doc_id, regexp_replace(masked, '{SCRUB}', '', 'g') FROM masked WHERE doc_id % 3 = 1",
+    "mask_fields_shared_map": f"""WITH {DOCS}, {spans()}, {merged()}, keyed AS (SELECT *, doc_id // 4 AS request, trim(regexp_replace(upper(label), '[^A-Z0-9]+', '_', 'g'), '_') AS k FROM merged),
+      fields AS (SELECT doc_id, text, doc_id // 4 AS request, CAST(row_number() OVER (PARTITION BY doc_id // 4 ORDER BY doc_id, text) - 1 AS INTEGER) AS i FROM docs),
+      tokens AS (SELECT *, '[' || k || '_' || row_number() OVER (PARTITION BY request, k ORDER BY doc_id, start) || ']' AS token FROM keyed),
+      cuts AS (SELECT *, coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY start), 0) AS from_ FROM tokens),
+      pieces AS (SELECT doc_id, string_agg(substr(text, from_ + 1, start - from_) || token, '' ORDER BY start) AS body, max("end") AS last_ FROM cuts GROUP BY doc_id),
+      n AS (SELECT request, count(*) AS n FROM tokens GROUP BY request)
+      SELECT f.request, 'send' AS status, CAST(coalesce(n, 0) AS INTEGER) AS n_spans, f.i, coalesce(body, '') || substr(f.text, coalesce(last_, 0) + 1) AS masked FROM fields f LEFT JOIN pieces USING (doc_id) LEFT JOIN n ON n.request = f.request""",
+    "sql_functions": MASK + f"SELECT doc_id, {GIVEN.format('text')} AS named, text AS restored, CAST(coalesce(c, 0) AS INTEGER) AS n_spans FROM docs LEFT JOIN (SELECT doc_id, count(*) AS c FROM spans GROUP BY doc_id) USING (doc_id)",
+    "name_mask_full": f"WITH {DOCS} SELECT doc_id, {named('text', FULL_FORMS)} AS masked FROM docs",
+    "name_mask_transcript": f"SELECT conv_id, turn, '{HEADER}' || chr(10) || coalesce(role, '') || '|' || {GIVEN.format("regexp_replace(coalesce(text, ''), '[|\n]', ' ', 'g')")} AS masked FROM conversations",
+    "digest_compare": "SELECT p_partkey, p_partkey % 3 <> 1 OR sha256(p_name) = sha256(CAST(p_partkey AS VARCHAR)) AS same FROM part",
+    "progress": "SELECT l_orderkey, l_linenumber, least(1.0::DOUBLE, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) / 32) AS share FROM lineitem",
+    "failure_kinds": "SELECT o_orderkey, ['space', 'permission', 'offline', 'offline', 'permission', 'download', 'offline'][1 + o_orderkey % 7] AS kind FROM orders",
+    "pin_plausible": f"SELECT p_partkey, regexp_matches(CASE WHEN p_partkey % 2 = 0 THEN replace(p_name, ' ', '_') ELSE p_name END, '^[A-Za-z0-9._-]+$') AND (p_partkey % 5) * 25000000000 - 25000000000 BETWEEN 1 AND 99999999999 AS plausible FROM part",
     **{f"detect_{name}": f'WITH {DOCS} SELECT doc_id, start, "end", label FROM ({found(RULES[label], label, 0)})' for name, label in (("email", "email address"), ("ipv4", "ip address"), ("phone", "phone number"), ("token", "access token"))},
     "trim_spans": rf"""WITH {DOCS}, {spans()}, x AS (SELECT doc_id, text, label, greatest(start - 2, 0) AS a, least("end" + 2, length(text)) AS b FROM spans),
       y AS (SELECT *, a + length(regexp_extract(substr(text, a + 1, b - a), '^[\s(\[{{"''“‘«¿¡]*')) AS c FROM x),
@@ -62,14 +118,12 @@ SQL = {
     "restore_garbled_any": MASK + f"SELECT doc_id, {REPLY.format(chr(39) * 2)} AS restored FROM masked WHERE n > 0",
     "join_split_fields": f"WITH {TURNS}, b AS (SELECT conv_id, fields, length({GS} || {SEP} || array_to_string(fields, {SEP}) || {SEP} || {GS}) AS n_chars FROM turns) SELECT conv_id, CAST(n_chars AS INTEGER) AS n_chars, CAST(generate_subscripts(fields, 1) - 1 AS INTEGER) AS i, unnest(fields) AS field FROM b",
     "separator_smuggle_drop": f"WITH {TURNS} SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'drop_separator' ELSE 'send' END AS status, CAST(CASE WHEN conv_id % 3 = 0 THEN -1 ELSE len(fields) END AS INTEGER) AS n_fields FROM turns",
-    "name_mask_given": rf"WITH {DOCS} SELECT doc_id, replace(regexp_replace(regexp_replace(text, '\b((?i:{FIRST})\s+\p{{Lu}})', chr(1) || '\1', 'g'), '(^|[^\pL\pN_\x01])(?i:{FIRST})($|[^\pL\pN_])', '\1[USER]\2', 'g'), chr(1), '') AS masked FROM docs",
-    "logits_decode": rf"""WITH {DOCS}, w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word, generate_subscripts(regexp_extract_all(text, '\S+'), 1) AS i, string_split_regex(text, '\S+') AS gs FROM docs),
-      o AS (SELECT doc_id, i - 1 AS pos, word, CAST(sum(length(word) + length(gs[i])) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) AS e FROM w),
-      p AS (SELECT doc_id, pos, CAST(e - length(word) AS INTEGER) AS s, e FROM o WHERE pos < 12), n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
-      c AS (SELECT doc_id, n, sw, width, li FROM n, unnest(range(0, n)) AS a(sw), range(0, 4) AS b(width), range(0, {len(LABELS)}) AS d(li)),
-      k AS (SELECT *, 1 / (1 + exp(-(((doc_id * 7 + sw * 31 + width * 17 + li * 13) % 97) / 4.0 - 24))) AS score FROM c WHERE sw + width < n)
-      SELECT k.doc_id, x.s AS start, y.e AS "end", [{", ".join(f"'{x}'" for x in LABELS)}][li + 1] AS label, CAST(width AS INTEGER) AS width, CAST(li AS INTEGER) AS label_index
-      FROM k JOIN p x ON x.doc_id = k.doc_id AND x.pos = k.sw JOIN p y ON y.doc_id = k.doc_id AND y.pos = k.sw + k.width WHERE score > 0.3""",
+    "name_mask_given": f"WITH {DOCS} SELECT doc_id, {GIVEN.format('text')} AS masked FROM docs",
+    "logits_decode": f"""WITH {DOCS}, {WORDS}, {PLAN.format(cap=CAP)},
+      c AS (SELECT doc_id, w, first, last - first AS n, sw, width, li FROM windows, unnest(range(0, last - first)) AS a(sw), range(0, {MAX_WIDTH}) AS b(width), range(0, {len(LABELS)}) AS d(li) WHERE sw + width < last - first),
+      k AS (SELECT * FROM c WHERE 1 / (1 + exp(-(((doc_id * 7 + (first + sw) * 31 + width * 1009 + li * 613 + w * 5) % 9973) / 4.0 - 2490))) > 0.3)
+      SELECT k.doc_id, w AS "window", x.s AS start, y.e AS "end", [{", ".join(f"'{x}'" for x in LABELS)}][li + 1] AS label, CAST(width AS INTEGER) AS width, CAST(li AS INTEGER) AS label_index
+      FROM k JOIN words x ON x.doc_id = k.doc_id AND x.pos = k.first + k.sw JOIN words y ON y.doc_id = k.doc_id AND y.pos = k.first + k.sw + k.width""",
     "label_histogram": f"WITH {DOCS}, {spans()} SELECT label, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY label",
     "probe_verdict": f"""WITH {DOCS}, {spans()}, c AS (SELECT doc_id, substr(text, start + 1, "end" - start) AS t FROM spans),
       h AS (SELECT doc_id, max(CAST(contains(t, '@mail') AS INTEGER)) + max(CAST(contains(t, '555-') AS INTEGER)) + max(CAST(contains(t, '.1') AS INTEGER)) AS n FROM c GROUP BY doc_id)

@@ -27,6 +27,14 @@ PASS_MARK = 2
 RESERVED = {"CON", "PRN", "AUX", "NUL", *(f"{x}{i}" for x in ("COM", "LPT") for i in range(1, 10))}
 
 
+# The keys of a manifest, and the fields and files that they stand for.
+MANIFEST = {
+    "version": "version", "sourceURL": "url", "archiveSHA256": "archive_sha256", "weightsSHA256": "weights_sha256",
+    "bytes": "archive_bytes", "maxWidth": "max_width", "maxSequenceLength": "max_sequence",
+}
+MANIFEST_FILES = {"tokenizerSHA256": "tokenizer.json", "tokenizerConfigSHA256": "tokenizer_config.json"}
+
+
 class InstallError(Exception):
     """kind: space, permission, offline or download."""
 
@@ -60,9 +68,31 @@ def same_digest(a: str, b: str) -> bool:
     return hmac.compare_digest(a.lower().encode(), b.lower().encode())
 
 
+def digest_of(stream) -> str:
+    """The lowercase SHA-256 of a binary stream, read piece by piece."""
+    return hashlib.file_digest(stream, "sha256").hexdigest()
+
+
 def file_digest(path: str) -> str:
     with open(path, "rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
+        return digest_of(f)
+
+
+def progress(done: int, total: int) -> float:
+    """The share that is done, 1 at most."""
+    return min(1.0, done / total)
+
+
+def same_volume(a: str, b: str) -> bool:
+    """Whether two paths, or the nearest folders above them that exist, are on one file system: a rename between them is atomic."""
+
+    def device(path: str) -> int:
+        path = os.path.abspath(path)
+        while not os.path.exists(path) and os.path.dirname(path) != path:
+            path = os.path.dirname(path)
+        return os.stat(path).st_dev
+
+    return device(a) == device(b)
 
 
 def disk_needed(archive_bytes: int) -> tuple[int, int]:
@@ -91,8 +121,15 @@ class ModelPin:
 
     @classmethod
     def from_json(cls, path: str) -> ModelPin:
+        """From a manifest; its hashes of the loose files are checked at each load, beside the weights'."""
         with open(path, encoding="utf-8") as f:
-            return cls(**{k: v for k, v in json.load(f).items() if k in cls.__dataclass_fields__})
+            found = json.load(f)
+        missing = [k for k in MANIFEST if k not in found]
+        if missing:
+            raise ValueError(f"the manifest lacks {', '.join(missing)}")
+        files = {name: found["files"][k] for k, name in MANIFEST_FILES.items() if k in found.get("files", {})}
+        pin = cls(**{name: found[k] for k, name in MANIFEST.items()})
+        return replace(pin, file_sha256={"model.onnx": pin.weights_sha256, **files} if files else {})
 
 
 def predecessor(pins: list[ModelPin], version: str) -> ModelPin | None:
@@ -172,10 +209,12 @@ class ModelStore:
 
 
 class Installer:
-    """checking -> downloading -> verifying -> installing -> installed, or up to date."""
+    """Fetches over HTTP by ``opener`` (urllib's; a test's or a proxy's may stand in) or from ``file://``.
+
+    checking -> downloading -> verifying -> installing -> installed, or up to date."""
 
-    def __init__(self, store: ModelStore, pin: ModelPin, free: Callable[[str], int] = lambda p: shutil.disk_usage(p).free):
-        self.store, self.pin, self.free, self.phase = store, pin, free, "idle"
+    def __init__(self, store: ModelStore, pin: ModelPin, free: Callable[[str], int] = lambda p: shutil.disk_usage(p).free, opener: Callable = urllib.request.urlopen):
+        self.store, self.pin, self.free, self.opener, self.phase = store, pin, free, opener, "idle"
 
     def sweep(self, now: float | None = None) -> None:
         for name in os.listdir(self.store.root) if os.path.isdir(self.store.root) else ():
@@ -189,12 +228,12 @@ class Installer:
             shutil.copyfile(urllib.request.url2pathname(url.path), to)
             on_progress(1.0)
             return
-        with urllib.request.urlopen(self.pin.url, timeout=20) as source, open(to, "wb") as out:
+        with self.opener(self.pin.url, timeout=20) as source, open(to, "wb") as out:
             done = 0
             while piece := source.read(1 << 20):
                 out.write(piece)
                 done += len(piece)
-                on_progress(min(1.0, done / self.pin.archive_bytes))
+                on_progress(progress(done, self.pin.archive_bytes))
 
     def ensure(self, force: bool = False, skipping: tuple[str, ...] = (), on_progress: Callable[[float], None] = lambda x: None) -> str:
         """installed, up_to_date or blocked; raises InstallError."""
@@ -213,6 +252,8 @@ class Installer:
                 return "up_to_date"
             if self.free(root) < disk_needed(pin.archive_bytes)[0]:
                 raise InstallError("space")
+            if not same_volume(root, target):
+                raise InstallError("permission", "the version's folder is on another volume")
             archive = os.path.join(root, f".download-{uuid.uuid4().hex}")
             staging = os.path.join(root, f".staging-{uuid.uuid4().hex}")
             try:

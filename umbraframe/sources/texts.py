@@ -13,6 +13,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def read_stdin(spark: SparkSession, stream) -> DataFrame:
+    """path "-" and all that a stream holds, as one text."""
+    return spark.createDataFrame([("-", stream.read())], "path string, text string")
+
+
 def write_masked(masked: DataFrame, key: str, out: str, map_out: str | None = None) -> None:
     """The masked columns as Parquet; originals only where a place for them is named."""
     masked.drop("restore").write.parquet(out)
