@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbraframe.functions.shipping import ship
+
 #: White space of the contracts: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,21 +24,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where it is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where none is named, a temporary one on a local master only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not (spark.sparkContext.master + "[").startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         path = tempfile.mkdtemp(prefix="umbraframe-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def written(df: DataFrame, name: str, **partitioning) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that operators have written within it. What is returned from within must be written by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the :func:`scratch` it belongs to, if any."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read again: cuts the lineage durably."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -87,22 +114,19 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-_SHIPPED: set[str] = set()
+def sql_quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def sql_matches(kind: str, order: int, pattern: str, keep: str = "true") -> str:
+    """DuckDB's (r, kind, ord, value, start, end) of a pattern's matches in d (r, text)."""
+    p = sql_quoted(pattern)
+    return f"""(SELECT r, '{kind}' AS kind, {order} AS ord, value, start, start + length(value) AS "end" FROM (
+  SELECT r, ms[i] AS value, list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: length(m))), 0) AS start
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gs FROM d) WHERE len(ms) > 0)) WHERE {keep})"""
 
 
 def ready(df: DataFrame) -> DataFrame:
-    """``df``, once the Python workers can import this package: it is sent along as a zip file, once a context."""
-    context = df.sparkSession.sparkContext
-    if context.applicationId not in _SHIPPED:
-        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        folder = tempfile.mkdtemp(prefix="umbraframe-")
-        path = os.path.join(folder, "umbraframe-package.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for top, _, names in os.walk(root):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(top, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(root)))
-        context.addPyFile(path)
-        _SHIPPED.add(context.applicationId)
+    """``df``, once the Python workers can import this package."""
+    ship(df.sparkSession)
     return df

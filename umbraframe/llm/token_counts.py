@@ -9,7 +9,6 @@ a text could change its count.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe_transducer import tokenizer_path
-from umbraframe.llm.common import ready, shared_dir, table, whole_text, written
+from umbraframe.llm.common import new_path, ready, table, whole_text, written
 from umbraframe.llm.pretok import library_tokenizer
 
 LIMIT = 512
@@ -84,4 +83,4 @@ def spread_join(slim: DataFrame, known: DataFrame, salts: int = 16) -> DataFrame
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A cache of its own for each run, so that every run counts all of its texts.
-    return count_tokens(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-cache-{uuid.uuid4().hex}", tokenizer_path())
+    return count_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"), tokenizer_path())

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe_transducer import tokenizer_path
-from umbraframe.llm.common import ready, shared_dir, table, whole_text
+from umbraframe.llm.common import new_path, ready, table, whole_text
 from umbraframe.llm.pretok import library_tokenizer
 
 MAGIC = b"UZT2"
@@ -236,6 +235,6 @@ def export_files(spark: SparkSession, out_dir: str, folder: str) -> int:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out_dir = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    out_dir = new_path(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), out_dir, tokenizer_path("word_bpe_49k.json"))
     return read_store(spark, out_dir)
