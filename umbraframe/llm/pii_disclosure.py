@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import joined_spans, kind_spans, matches, table, whole_text, written
+from umbraframe.llm.common import joined_spans, kind_spans, matches, sql_matches, table, whole_text, written
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: A match starts at the end of the one before or where a run starts: no start inside a run can be leftmost.
@@ -212,3 +212,39 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in ("email", "ip", "card", "phone")], F.sha2(joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined_spans(F.col("found")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same by definition: all pairs of terms and entities counted over all documents, without any bound."""
+    email = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+    number = "regexp_replace(value, '[^0-9]', '', 'g')"
+    twice = "2 * CAST(substr(n, j, 1) AS INTEGER)"
+    luhn = f"list_sum(list_transform(range(1, length(n) + 1), lambda j: CASE WHEN (length(n) - j) % 2 = 0 THEN CAST(substr(n, j, 1) AS INTEGER) WHEN {twice} > 9 THEN {twice} - 9 ELSE {twice} END)) % 10 = 0".replace("n, j", f"{number}, j").replace("length(n)", f"length({number})")
+    octets = "list_bool_and(list_transform(string_split(value, '.'), lambda x: length(ltrim(x, '0')) <= 3 AND coalesce(TRY_CAST(x AS INTEGER), 999) <= 255))"
+    kinds = [
+        sql_matches("email", 0, email), sql_matches("ip", 1, r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", octets),
+        sql_matches("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({number}) BETWEEN 14 AND 19 AND {luhn}"), sql_matches("phone", 3, PHONE, f"length({number}) BETWEEN 10 AND 15"),
+    ]
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED ({" UNION ALL ".join(kinds)}),
+entities AS (SELECT DISTINCT r, kind || ':' || CASE kind WHEN 'email' THEN lower(value) WHEN 'ip' THEN value ELSE {number} END AS entity FROM base),
+words AS MATERIALIZED (SELECT DISTINCT r, unnest(regexp_extract_all(lower(regexp_replace(text, '{email}', ' ', 'g')), '\\pL{{3,}}')) AS term FROM d),
+n_entity AS (SELECT entity, count(*) AS n_entity FROM entities GROUP BY entity),
+n_term AS (SELECT term, count(*) AS n_term FROM words GROUP BY term),
+pairs AS (SELECT term, entity, count(*) AS n_both FROM entities JOIN words USING (r) JOIN d USING (r) GROUP BY term, entity HAVING count(DISTINCT text) >= {SUPPORT}),
+over AS (SELECT term, max(n_both / n_term) >= {REMOVE} AS cut FROM pairs JOIN n_term USING (term) JOIN n_entity USING (entity)
+  WHERE n_both / n_term >= {GENERALISE} AND log2(n_both / n_term / (n_entity / (SELECT count(*) FROM d))) >= {BITS} GROUP BY term),
+told AS (SELECT DISTINCT r FROM words JOIN over USING (term)),
+runs AS {sql_matches("run", 4, r"\pL+").replace("FROM d)", "FROM d SEMI JOIN told USING (r))")},
+terms AS (SELECT r, CASE WHEN cut THEN 'cut' ELSE 'term' END AS kind, CASE WHEN cut THEN 5 ELSE 4 END AS ord, start, "end" FROM runs JOIN over ON lower(value) = term
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = runs.r AND b.start < runs."end" AND runs.start < b."end")),
+b AS (SELECT r, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+  string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, ord) AS s FROM base GROUP BY r),
+a AS (SELECT r, string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, ord) AS s FROM (SELECT r, kind, ord, start, "end" FROM base UNION ALL SELECT * FROM terms) GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b.s, '')) AS base_sha256, coalesce(a.s, '') AS spans
+FROM d LEFT JOIN b USING (r) LEFT JOIN a USING (r)
+"""
+
+
+SQL = _sql()

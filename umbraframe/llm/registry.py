@@ -20,4 +20,6 @@ QUERIES = {
 SQL = {
     "op3_content_sort_dedup": exact_dedup.SQL,
     "op7_pareto_mixing": mixing.SQL,
+    "op8_entropy_secret_scan": secrets.SQL,
+    "op10_pii_disclosure": pii_disclosure.SQL,
 }
