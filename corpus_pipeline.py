@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from umbraframe.llm import bpe_transducer, exact_dedup, mixing, near_dedup, quality_pu
-from umbraframe.llm.common import shared_dir, table
+from umbraframe.llm.common import scratch, shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{out}/{i}")
+        with scratch(spark):  # a stage's own tables go once its rows are written
+            stage(spark, docs, sf_dir).write.parquet(f"{out}/{i}")
         docs = spark.read.parquet(f"{out}/{i}")
     return docs
