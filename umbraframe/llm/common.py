@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,6 +126,19 @@ def sql_matches(kind: str, order: int, pattern: str, keep: str = "true") -> str:
   FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gs FROM d) WHERE len(ms) > 0)) WHERE {keep})"""
 
 
+def release_memory() -> None:
+    """Gives back to the system what earlier stages of this Python worker have freed: workers are used again and again."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def ready(df: DataFrame) -> DataFrame:
     """``df``, once the Python workers can import this package."""
     ship(df.sparkSession)

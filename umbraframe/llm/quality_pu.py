@@ -22,13 +22,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import ready, table, whole_text
+from umbraframe.llm.common import ready, release_memory, table, whole_text
 
 #: The bounds of the samples of labelled positives and of unlabelled documents.
-LABELLED, UNLABELLED = 6_000, 6_000
+LABELLED, UNLABELLED = 4_000, 4_000
 THRESHOLD = 0.3
 HASHED = 1_024
 DENSE = 21
@@ -82,9 +83,16 @@ class Model:
     """A linear score over scaled features."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray):
-        self.mean, self.scale = mean, scale
+        self.mean, self.scale = mean.astype(np.float32), scale.astype(np.float32)
         self.w, self.b = np.zeros(len(mean)), 0.0
 
+    @classmethod
+    def of(cls, *parts: np.ndarray) -> Model:
+        """Scaled by the mean and spread of all rows of the parts."""
+        n = sum(map(len, parts))
+        mean = sum(p.sum(0, dtype=np.float64) for p in parts) / n
+        return cls(mean, np.sqrt(np.maximum(sum(np.square(p, dtype=np.float64).sum(0) for p in parts) / n - mean**2, 0)) + 1e-4)
+
     def scaled(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -CUT, CUT)
         z[:, DENSE:] *= HASHED_SHARE
@@ -125,8 +133,7 @@ def nn_gradient(w: np.ndarray, b: float, p: np.ndarray, u: np.ndarray, prior: fl
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 256, seed: int = 0) -> Model:
     """The minimiser of the non-negative risk over raw features (rows of :func:`features`)."""
-    both = np.concatenate([positive, unlabelled])
-    model = Model(both.mean(0), both.std(0) + 1e-4)
+    model = Model.of(positive, unlabelled)
     xp, xu = model.scaled(positive), model.scaled(unlabelled)
     rng = np.random.default_rng(seed)
 
@@ -143,9 +150,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 0)
     """
     halves = lambda x: (x[::2], x[1::2]) if len(x) >= 20 else (x, x)
     (p0, p1), (u0, u1) = halves(positive), halves(unlabelled)
-    both = np.concatenate([p0, u0])
-    model = Model(both.mean(0), both.std(0) + 1e-4)
-    x, y = model.scaled(both), np.concatenate([np.ones(len(p0)), np.zeros(len(u0))])
+    model = Model.of(p0, u0)
+    x, y = np.concatenate([model.scaled(p0), model.scaled(u0)]), np.concatenate([np.ones(len(p0)), np.zeros(len(u0))])
     weight = np.where(y == 1, 0.5 / len(p0), 0.5 / len(u0)) * len(y)
     _descend(model, lambda m, rows: np.append(*(lambda g: (g @ x[rows], g.sum()))((sigmoid(x[rows] @ m.w + m.b) - y[rows]) * weight[rows] / len(rows))), len(x), 15, 256, np.random.default_rng(seed), ridge=1e-2)
     sp, su = np.sort(model(p1)), np.sort(model(u1))
@@ -174,11 +180,15 @@ def sample_features(docs: DataFrame, labels: DataFrame, most: int = LABELLED, un
             rows = [features(t.as_py()).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "part", "x"])
 
-    # One text of each id, however often it repeats: rows of a fixed width, as many as were chosen. Sorted, so that the fit does not
-    # depend on the order of tasks.
+    # One text of each id, however often it repeats: rows of a fixed width, as many as were chosen (4 KB each). Sorted, so that the
+    # fit does not depend on the order of tasks.
     one = found.transform(ready).mapInArrow(run, "doc_id long, part string, x binary").groupBy("doc_id", "part").agg(F.min("x").alias("x"))
-    got = sorted((r.part, r.doc_id, bytes(r.x)) for r in one.collect())
-    return tuple(np.array([np.frombuffer(x, np.float32) for p, _, x in got if p == part], np.float32).reshape(-1, DENSE + HASHED) for part in "pu")
+    got = one.toArrow().combine_chunks().sort_by([("part", "ascending"), ("doc_id", "ascending")])
+    parts = []
+    for part in "pu":
+        x = got.filter(pc.equal(got["part"], part))["x"]
+        parts.append(np.frombuffer(b"".join(c.buffers()[2].slice(4 * (DENSE + HASHED) * c.offset, 4 * (DENSE + HASHED) * len(c)) for c in x.chunks if len(c)), np.float32).reshape(-1, DENSE + HASHED))
+    return tuple(parts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: int = UNLABELLED) -> tuple[Model | None, float | None]:
@@ -187,7 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED, unlabelled: in
     if not len(positive) or not len(rest):
         return None, None
     prior = estimate_prior(positive, rest)
-    return fit_nnpu(positive, rest, prior), prior
+    model = fit_nnpu(positive, rest, prior)
+    del positive, rest
+    release_memory()
+    return model, prior
 
 
 def score(docs: DataFrame, model: Model | None, extra: tuple[str, ...] = ()) -> DataFrame:
