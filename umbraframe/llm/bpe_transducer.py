@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import ready, table, whole_text
+from umbraframe.llm.common import ready, release_memory, table, whole_text
 from umbraframe.llm.pretok import ALPHABET, BYTE_LEVEL, BYTE_LEVEL_SAFE, Memo, byte_level_pieces, chunks, safe, whole_piece
 
 SHARE = 1e-5
@@ -311,6 +311,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     digest, shared = hashlib.sha256(content).hexdigest(), docs.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         c = codec(path, shared.value, digest)
         for batch in batches:
             for part in chunks(texts := batch.column(1).to_pylist(), CHARS):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from umbraframe.llm.common import ready, table, whole_text, written
+from umbraframe.llm.common import ready, release_memory, table, whole_text, written
 from umbraframe.llm.pretok import chunks
 
 SHINGLE = 5
@@ -216,6 +216,7 @@ def digests_and_frequencies(slim: DataFrame) -> tuple[DataFrame, np.ndarray, int
     segment = 2 * BUCKETS // SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         df, n = np.zeros((2, BUCKETS), np.int32), 0
         for batch in batches:
             out = []
@@ -269,6 +270,7 @@ def keys_of(slim: DataFrame, idf) -> DataFrame:
     """(doc_id, mark, keys), the bands' keys of each row of (doc_id, mark, text) where it lies; none for documents without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         sampler, table_, recent = Sampler(), idf.value, OrderedDict()
         for batch in batches:
             at, keys = [], []
@@ -324,6 +326,7 @@ def links_of(pairs: DataFrame, some: DataFrame, idf, similarity: float) -> DataF
     right = some.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         table_, recent = idf.value, OrderedDict()
 
         def of(doc: int, text) -> tuple:
