@@ -576,3 +576,73 @@ def test_samples_are_bounded(docs, spark):
     assert len(quality_pu.sample_features(table, labels, 1, 7)[0]) == 1 and len(quality_pu.sample_features(table, labels, 1, 7)[1]) <= 7
     assert quality_pu.fit(table, labels.limit(0)) == (None, None)
     assert quality_pu.fit(table.limit(9), labels)[0] is not None
+
+
+def test_odd_rows_through_every_operator(spark):
+    """Ids of any sign and none, long unbroken words, very many words, control characters and rows that repeat: each operator ends, whole."""
+    from tokenizers import Tokenizer
+
+    table = [(-5, "a" * 40_000), (-(2**63), "né " * 20_000), (2**63 - 1, "\x00\x01\ufffd\u2028 x"), (0, "0123456789" * 3_000), (None, "\U0001f600" * 5_000), (None, None), (7, prose(30_000))]
+    table += [table[0], table[3], (-5, "other text of the same id")]
+    df = spark.createDataFrame([(i, t, "en", "s", None, 1, "x", 0.5) for i, t in table], SCHEMA)
+    rows = [(i, t or "") for i, t in table]
+    path = bpe_transducer.tokenizer_path()
+    library = Tokenizer.from_file(path)
+    ids = {t: library.encode(t, add_special_tokens=False).ids for _, t in rows}
+    crc = lambda x: hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()
+    got = bpe_transducer.encode_documents(df, path, with_ids=False).collect()
+    assert sorted((key(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted((key(i), len(ids[t]), crc(ids[t]), hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    counted = token_counts.count_tokens(df, f"{near_dedup.written(spark.range(1), 'odd').inputFiles()[0]}-cache", path).collect()
+    assert sorted((key(r.doc_id), r.n_bytes, r.n_tokens) for r in counted) == sorted((key(i), len(t.encode()), len(ids[t])) for i, t in rows)
+    stored = tiff_media.store_texts(df).collect()
+    assert sorted((key(r.doc_id), r.payload_sha256) for r in stored) == sorted((key(i), hashlib.sha256(tiff_media.padded(t.encode())).hexdigest()) for i, t in rows)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t)
+    sizes = {norm(t): sum(norm(u) == norm(t) for _, u in rows) for _, t in rows}
+    assert sorted((key(r.doc_id), r.group_size) for r in exact_dedup.dedup_plan(df).collect()) == sorted((key(i), sizes[norm(t)]) for i, t in rows)
+    plan = mixing.mix_plan(df).collect()
+    assert sorted((key(r.doc_id), r["size"]) for r in plan) == sorted((key(i), len(re.findall(r"[^\x20\x09-\x0D]+", t))) for i, t in rows)
+    classes = near_dedup.near_classes(df).collect()
+    assert len(classes) == len(rows) and len({r.class_key for r in classes}) == len({t for _, t in rows}) and near_dedup.drop_near_copies(df).count() == len({t for _, t in rows})
+    for found, patterns in ((secrets.scan(df), SECRET), (pii_disclosure.find(df), PRIVATE)):
+        got = sorted((key(r.doc_id), r.b) for r in found.select("doc_id", pii_disclosure.joined_spans(F.col("base")).alias("b")).collect())
+        assert got == sorted((key(i), spans_of(t, patterns)) for i, t in rows)
+    scores = quality_pu.score(df, quality_pu.fit(df, spark.createDataFrame([(-5, 1, 0), (7, 1, 0), (0, 0, 0)], "doc_id long, quality int, toxic int"))[0]).collect()
+    assert len(scores) == len(rows) and all(0 <= r.score <= 1 for r in scores)
+
+
+def secret_spans_by_hand(text):
+    """Entropy spans by the definition: every window of every part of every candidate from its own counts."""
+    out = []
+    for c in re.finditer(secrets.CANDIDATE, text):
+        at = 0
+        for piece in re.split("(" + secrets.PLACEHOLDERS + ")", c.group()):
+            start, at = c.start() + at, at + len(piece)
+            if re.fullmatch(secrets.PLACEHOLDERS, piece) or len(piece) < 16 or any(re.search(p, piece) for p in secrets.ALLOWED):
+                continue
+            n, least = next(w for p, ws in secrets.CLASSES.values() if re.search(p, piece) for w in ws if len(piece) >= w[0])
+            counts = lambda w: [w.count(x) / n for x in set(w)]
+            hot = [i for i in range(len(piece) - n + 1) if -sum(p * np.log2(p) for p in counts(piece[i : i + n])) >= least - 1e-9]
+            islands = []
+            for i in hot:
+                if islands and i <= islands[-1][1]:
+                    islands[-1][1] = i + n
+                else:
+                    islands.append([i, i + n])
+            out += [(start + a, start + b) for a, b in islands]
+    return out
+
+
+def test_entropy_spans_by_definition(spark):
+    rng = random.Random(12)
+    letters = secrets.ALPHABET
+    parts = lambda: rng.choice([
+        "".join(rng.choice(letters) for _ in range(rng.randint(10, 50))), "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(14, 31))),
+        "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(rng.randint(14, 40))), "aaaa" * 8, "lowercaseonlyandverylong/path", "Example", "your_", "dummy", "=" * 20, " ", " plain ",
+    ])
+    texts = ["".join(parts() for _ in range(rng.randint(1, 7))) for _ in range(250)]
+    texts += ["/srv/example/Zk3vQ9xT7mB2nL5pR8wY1cD4fG6hJ0sA", "key=dummyZk3vQ9xT7mB2nL5pR8wY1cD4", "Zk3vQ9xT7mB2nL5p", "550e8400-e29b-41d4-a716-446655440000"]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = [(s.start, s.end) for s in got[i].base]
+        assert sorted((s.start, s.end) for s in got[i].found if s.kind == "entropy") == sorted(e for e in secret_spans_by_hand(t) if not any(a <= e[0] and e[1] <= b for a, b in base)), t
+    assert [any(s.kind == "entropy" for s in got[i].found) for i in range(250, 254)] == [True, True, True, False]
