@@ -262,11 +262,12 @@ def neutral_words(spark, sf_dir):
 
 
 def emoji_spans(spark, sf_dir):
-    """Spans of one to three words from every word; those of emoji only are dropped."""
+    """Spans of one to three words from every word, summed by document and width; those of emoji only are dropped."""
     w = emoji_words(spark, sf_dir).select(F.col("doc_id").alias("id"), "pos", "start", "end", words.is_emoji(F.col("word")).alias("is_emoji"))
     n = w.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n_words"))
     cells = w.select("id", F.col("pos").alias("start_word")).join(n, "id").select("id", F.lit(0).alias("window"), F.lit(0).alias("first_word"), "n_words", "start_word", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("width"), F.lit(0).alias("label_index"), F.lit(2.0).alias("logit"))
-    return detect.decode_logits(cells, w, S.LABELS, 0.3).select(F.col("id").alias("doc_id"), "start", "end", "width")
+    kept = detect.decode_logits(cells, w, S.LABELS, 0.3).groupBy(F.col("id").alias("doc_id"), "width")
+    return kept.agg(F.count(F.lit(1)).alias("n_spans"), F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"))
 
 
 def protect_exact(spark, sf_dir):

@@ -83,7 +83,8 @@ SQL = {
       SELECT doc_id, w, CAST(sum(t) + 8 AS BIGINT) AS n_ids, CAST(sum(least({MAX_WIDTH}, n - k)) AS BIGINT) AS n_spans, CAST(sum(least({MAX_WIDTH}, n - k) * k + least({MAX_WIDTH}, n - k) * (least({MAX_WIDTH}, n - k) - 1) // 2) AS BIGINT) AS sum_last, CAST(sum(k + 1) AS BIGINT) AS sum_words FROM x GROUP BY doc_id, w""",
     "neutral_words": f"WITH {DOCS}, {WORDS}, {EMOJI_WORDS} SELECT doc_id, pos, is_emoji, CASE WHEN is_emoji THEN '-' ELSE word END AS encoded FROM marked",
     "emoji_spans": f"""WITH {DOCS}, {WORDS}, {EMOJI_WORDS}, x AS (SELECT a.doc_id, a.pos, a.s, b.e, b.pos - a.pos AS width FROM marked a JOIN marked b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos <= a.pos + 2)
-      SELECT DISTINCT x.doc_id, x.s AS start, x.e AS "end", CAST(width AS INTEGER) AS width FROM x JOIN marked m ON m.doc_id = x.doc_id AND m.pos >= x.pos AND m.pos <= x.pos + x.width WHERE NOT m.is_emoji""",
+      SELECT doc_id, CAST(width AS INTEGER) AS width, count(*) AS n_spans, CAST(sum(s) AS BIGINT) AS sum_start, CAST(sum(e) AS BIGINT) AS sum_end
+      FROM x WHERE EXISTS (SELECT 1 FROM marked m WHERE m.doc_id = x.doc_id AND m.pos >= x.pos AND m.pos <= x.pos + x.width AND NOT m.is_emoji) GROUP BY doc_id, width""",
     "protect_markers": f"""WITH {DOCS}, {spans()}, {WIDE} SELECT doc_id, CAST({_AT} AS INTEGER) AS start, CAST({_AT} + length(ps[j]) AS INTEGER) AS "end", label FROM {CUTS} WHERE ps[j] <> ''""",
     "protect_exact": f"""WITH {DOCS}, {spans()}, {WIDE}, f AS (SELECT doc_id, arg_min(substr(text, start + 1, "end" - start), ord * 1000000 + i) AS t FROM spans GROUP BY doc_id)
       SELECT doc_id, start, "end", label FROM wide JOIN f USING (doc_id) WHERE substr(text, start + 1, "end" - start) <> t""",
