@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbraframe.llm.common import ready, release_memory, table, whole_text, written
-from umbraframe.llm.pretok import chunks
+from umbraframe.llm.pretok import text_parts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -220,9 +220,9 @@ def digests_and_frequencies(slim: DataFrame) -> tuple[DataFrame, np.ndarray, int
         df, n = np.zeros((2, BUCKETS), np.int32), 0
         for batch in batches:
             out = []
-            for part in chunks(texts := batch.column(2).to_pylist()):
+            for _, texts in text_parts(batch.column(2), 2_000_000):
                 held = []
-                for text in texts[part]:
+                for text in texts:
                     words = word_hashes(text)
                     out.append(digest(words))
                     held.append(np.unique(shingles(words)))
@@ -399,7 +399,7 @@ def cross_links(docs: list[tuple], key: int, within: bool, idf: np.ndarray, simi
 
 
 def more_links(keys: DataFrame, sizes: DataFrame, labels: DataFrame, some: DataFrame, idf, similarity: float) -> DataFrame:
-    """(a, b): links between the classes that large keys still hold, by all pairs of documents of different classes.
+    """(a, b): links between the labels of classes that large keys still hold, by all pairs of documents of different classes.
 
     Documents of a key are dealt to blocks, those of its largest class to blocks of their own, and each two blocks are
     compared as a group unless both are of the largest class.
@@ -450,9 +450,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     labels = components(links)
     # Each document of a large key has a pair, so its text is among those of pairs.
     more = written(more_links(keys, sizes, labels, some, shared, similarity), "near-more")
-    if more.head(1):
-        labels = components(links.unionByName(more))
     classes = nodes.join(labels, F.col("node") == F.col("id"), "left").select("digest", "rep_id", "rep_mark", "n_copies", F.coalesce("label", "node").alias("class_key"))
+    if more.head(1):  # links between classes, by their labels: only these are joined further
+        joined = components(more).select(F.col("id").alias("_from"), F.col("label").alias("_to"))
+        classes = classes.join(joined, F.col("class_key") == F.col("_from"), "left").withColumn("class_key", F.coalesce("_to", "class_key")).drop("_from", "_to")
     classes = written(classes, "near-classes")
     first = F.min(F.struct(F.col("rep_id").isNull(), "rep_id", "rep_mark")).alias("first")
     total = classes.groupBy("class_key").agg(F.sum("n_copies").alias("class_size"), first).withColumnRenamed("class_key", "_class")
