@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraframe.llm.common import ready, release_memory, table, whole_text
-from umbraframe.llm.pretok import ALPHABET, BYTE_LEVEL, BYTE_LEVEL_SAFE, Memo, byte_level_pieces, chunks, safe, whole_piece
+from umbraframe.llm.pretok import ALPHABET, BYTE_LEVEL, BYTE_LEVEL_SAFE, Memo, byte_level_pieces, chunks, safe, text_parts, whole_piece
 
 SHARE = 1e-5
 LEXICON = 40_000
-#: Characters of texts that are encoded at once.
+#: Bytes of texts that are encoded at once.
 CHARS = 1_000_000
 MAGIC = b"UFT1"
 NONE = np.iinfo(np.int64).max
@@ -171,37 +171,52 @@ class Merges:
         self.piece_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_ends = np.cumsum([0, *map(len, pieces)])
 
+    def _pairs(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, merged symbol) of the pairs that begin at some places, none the last; NONE where they do not merge."""
+        key = (symbols[at].astype(np.uint64) << np.uint64(16)) | symbols[at + 1].astype(np.uint64)
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[found] == key) & (owner[at] == owner[at + 1]), self.ranks[found], NONE), self.made[found]
+
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word: every round merges each word's pair of lowest rank. All pairs of that rank go at
-        once, as a pair that a merge makes has a higher rank; of overlapping ones (aaa) every second."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
+        """Ids of each word."""
+        counts, ids = self.encode_flat(words)
+        return np.split(ids, np.cumsum(counts)[:-1]) if len(words) else []
+
+    def encode_flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids: every round merges each word's pair of lowest rank. All pairs of that rank go at
+        once, as a pair that a merge makes has a higher rank; of overlapping ones (aaa) every second. Only pairs beside a
+        merge are looked up anew."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
+        owners, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         symbols = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
+        rank, made = np.full(len(symbols), NONE), np.zeros(len(symbols), np.int64)
+        rank[:-1], made[:-1] = self._pairs(symbols, owner, np.arange(max(len(symbols) - 1, 0)))
         while len(symbols):
-            n = len(symbols)
-            key = (symbols[:-1].astype(np.uint64) << np.uint64(16)) | symbols[1:].astype(np.uint64)
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(n, NONE)
-            known = (self.keys[at] == key) & (owner[:-1] == owner[1:])
-            rank[:-1][known] = self.ranks[at[known]]
             first = np.nonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))[0]
-            count = np.diff(np.concatenate([first, [n]]))
+            count = np.diff(np.concatenate([first, [len(symbols)]]))
             least = np.minimum.reduceat(rank, first)
             finished = least == NONE
-            for a, c in zip(first[finished].tolist(), count[finished].tolist(), strict=True):
-                out[owner[a]] = symbols[a : a + c]
+            over = np.repeat(finished, count)
+            owners.append(owner[over])
+            ids.append(symbols[over])
             best = np.nonzero((rank == np.repeat(least, count)) & (rank < NONE))[0]
             if not len(best):
                 break
             start = np.concatenate([[True], np.diff(best) > 1])
             run = np.maximum.accumulate(np.where(start, np.arange(len(best)), 0))
             best = best[(np.arange(len(best)) - run) % 2 == 0]
-            symbols[best] = self.made[at[best]]
-            stays = np.repeat(~finished, count)
+            symbols[best] = made[best]
+            stays = ~over
             stays[best + 1] = False
-            symbols, owner = symbols[stays], owner[stays]
-        return out
+            merged = np.cumsum(stays)[best] - 1
+            symbols, owner, rank, made = symbols[stays], owner[stays], rank[stays], made[stays]
+            rank[merged] = NONE
+            beside = np.concatenate([merged, merged - 1])
+            beside = beside[(beside >= 0) & (beside < len(symbols) - 1)]
+            rank[beside], made[beside] = self._pairs(symbols, owner, beside)
+        of = np.concatenate(owners)
+        return np.bincount(of, minlength=len(words)), np.concatenate(ids)[np.argsort(of, kind="stable")]
 
     def decode(self, ids: np.ndarray) -> str:
         start, end = self.piece_ends[ids], self.piece_ends[ids.astype(np.int64) + 1]
@@ -215,27 +230,36 @@ class Merges:
 class Codec:
     """Encoder and decoder of one Python worker."""
 
-    def __init__(self, path: str, lexicon: bytes):
+    def __init__(self, merges: Merges, lexicon: bytes):
         import regex
 
-        self.merges, self.lexicon = Merges(path), Lexicon.mapped(lexicon)
+        self.merges, self.lexicon = merges, Lexicon.mapped(lexicon)
         self.pattern = regex.compile(BYTE_LEVEL)
         self.special = re.compile("(" + "|".join(map(re.escape, self.merges.special)) + ")") if self.merges.special else None
         self.memo = Memo(self._new)
 
-    def words_ids(self, words: list[bytes]) -> list[np.ndarray]:
-        """The lexicon's ids where it has the word, else the exact merges."""
+    def words_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids: the lexicon's where it has the word, else by the exact merges."""
         numbers = self.lexicon.numbers(words)
-        unseen = np.nonzero(numbers < 0)[0].tolist()
-        merged = iter(self.merges.encode([words[i] for i in unseen]))
-        ends, ids = self.lexicon.ends, self.lexicon.ids
-        return [next(merged) if k < 0 else ids[ends[k] : ends[k + 1]] for k in numbers.tolist()]
-
-    def _new(self, pieces: list[str]) -> Iterator[list[int]]:
-        split = [BYTE_LEVEL_SAFE.findall(whole_piece(p)) if p[0] != "\x03" else [p[1:]] for p in pieces]
-        found = iter(self.words_ids([w.encode() for words in split for w in words]))
-        for words in split:
-            yield [i for _ in words for i in next(found).tolist()]
+        unseen, seen = np.nonzero(numbers < 0)[0], np.nonzero(numbers >= 0)[0]
+        merged_counts, merged = self.merges.encode_flat([words[i] for i in unseen.tolist()])
+        ends, counts = self.lexicon.ends.astype(np.int64), np.zeros(len(words), np.int64)
+        counts[unseen], counts[seen] = merged_counts, ends[numbers[seen] + 1] - ends[numbers[seen]]
+        starts, out = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int64)
+
+        def places(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+            return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+        out[places(starts[unseen], merged_counts)] = merged
+        out[places(starts[seen], counts[seen])] = self.lexicon.ids[places(ends[numbers[seen]], counts[seen])]
+        return counts, out
+
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # A piece of letters is one word; one that is marked is, too.
+        split = [[" " + p] if p.isalpha() else BYTE_LEVEL_SAFE.findall(whole_piece(p)) if p[0] != "\x03" else [p[1:]] for p in pieces]
+        counts, ids = self.words_ids([w.encode() for words in split for w in words])
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        return np.diff(upto[np.concatenate([[0], np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))])]), ids
 
     def _pieces(self, text: str) -> list[str]:
         """Pieces of any text. A word of one that is not safe is marked, as it must not be split again."""
@@ -255,15 +279,15 @@ class Codec:
         return out
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str, lexicon: bytes, digest: str) -> Codec:
+def codec(merges: Merges, lexicon: bytes, digest: str) -> Codec:
     """One codec a Python worker, for the last lexicon it was given."""
-    if (path, digest) not in _CODECS:
+    if digest not in _CODECS:
         _CODECS.clear()
-        _CODECS[path, digest] = Codec(path, lexicon)
-    return _CODECS[path, digest]
+        _CODECS[digest] = Codec(merges, lexicon)
+    return _CODECS[digest]
 
 
 # ---- the operator
@@ -291,13 +315,13 @@ def frequent_words(docs: DataFrame, text_col: str = "text", share: float = SHARE
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
-def build_lexicon(path: str, words: list[str]) -> bytes:
+def build_lexicon(merges: Merges, words: list[str]) -> bytes:
     """Compile the pre-tokens of the words, as they stand after a space."""
     import regex
 
     pattern = regex.compile(BYTE_LEVEL)
     tokens = sorted({t.encode() for w in words for t in pattern.findall(" " + w)})
-    merged = Merges(path).encode(tokens)
+    merged = merges.encode(tokens)
     return compile_lexicon(dict(zip(tokens, (ids.tolist() for ids in merged), strict=True)))
 
 
@@ -307,15 +331,17 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     Defined cases: a null text is empty; an empty text has no ids; null ids pass through; repeated rows each get
     a row; an empty table gives no rows; other columns are ignored; texts of any length are encoded whole.
     """
-    content = build_lexicon(path, frequent_words(docs, text_col))
-    digest, shared = hashlib.sha256(content).hexdigest(), docs.sparkSession.sparkContext.broadcast(content)
+    # The tokenizer's file is read once, on the driver: workers get its tables, about as large as the vocabulary.
+    merges = Merges(path)
+    content = build_lexicon(merges, frequent_words(docs, text_col))
+    digest, shared = hashlib.sha256(path.encode() + content).hexdigest(), docs.sparkSession.sparkContext.broadcast((merges, content))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
-        c = codec(path, shared.value, digest)
+        c = codec(*shared.value, digest)
         for batch in batches:
-            for part in chunks(texts := batch.column(1).to_pylist(), CHARS):
-                rows = [{"n": len(i), "sha": hashlib.sha256(i.astype("<u4", copy=False).tobytes()).hexdigest(), "text": hashlib.sha256(c.merges.decode(i).encode()).hexdigest()} | ({"ids": i.astype(np.int32)} if with_ids else {}) for i in c.encode(texts[part])]
+            for part, texts in text_parts(batch.column(1), CHARS):
+                rows = [{"n": len(i), "sha": hashlib.sha256(i.astype("<u4", copy=False).tobytes()).hexdigest(), "text": hashlib.sha256(c.merges.decode(i).encode()).hexdigest()} | ({"ids": i.astype(np.int32)} if with_ids else {}) for i in c.encode(texts)]
                 cols = [batch.column(0)[part], pa.array([r["n"] for r in rows], pa.int64()), pa.array([r["sha"] for r in rows], pa.string()), pa.array([r["text"] for r in rows], pa.string())]
                 if with_ids:
                     ends = np.cumsum([0, *(r["n"] for r in rows)]).astype(np.int32)
@@ -331,8 +357,10 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 def decode_documents(coded: DataFrame, path: str) -> DataFrame:
     """doc_id and text from doc_id and ids; null ids decode to an empty text."""
 
+    shared = coded.sparkSession.sparkContext.broadcast(Merges(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Merges(path)
+        merges = shared.value
         for batch in batches:
             texts = [merges.decode(np.array(x or [], np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])

@@ -72,26 +72,40 @@ class _Slots(dict):
 
 
 class Memo:
-    """Ids of pre-tokens, by slot. Emptied when it holds ``most`` words or ``most_ids`` ids."""
+    """Ids of pre-tokens, by slot. encode_new(words) gives how many ids each has, and all ids. Where it holds over ``most`` words or ``most_ids`` ids, only those used again stay, half of either at most."""
 
-    def __init__(self, encode_new: Callable[[list[str]], Iterator], most: int = 700_000, most_ids: int = 8_000_000):
+    def __init__(self, encode_new: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000, most_ids: int = 3_000_000):
         self.encode_new, self.most, self.most_ids = encode_new, most, most_ids
-        self.clear()
-
-    def clear(self) -> None:
-        self.slots, self.ids, self.starts, self.counts = _Slots(), array("I"), array("q"), array("q")
+        self.slots, self.ids, self.starts, self.counts, self.uses = _Slots(), array("I"), array("q"), array("q"), np.zeros(0, np.int64)
+
+    def shrink(self) -> None:
+        starts, counts = np.array(self.starts, np.int64), np.array(self.counts, np.int64)
+        order = np.argsort(-self.uses, kind="stable")[: self.most // 2]
+        order = order[(self.uses[order] > 1) & (np.cumsum(counts[order]) <= self.most_ids // 2)]
+        kept = np.sort(order)
+        n = counts[kept]
+        upto = np.cumsum(n) - n
+        ids = np.frombuffer(self.ids, np.uint32)[np.repeat(starts[kept] - upto, n) + np.arange(n.sum())]
+        words, slots = list(self.slots), _Slots()
+        for at in kept.tolist():
+            dict.__setitem__(slots, words[at], len(slots))
+        self.slots, self.ids, self.starts, self.counts = slots, array("I", ids.tobytes()), array("q", upto.tobytes()), array("q", n.tobytes())
+        self.uses = self.uses[kept] // 2  # so that what was frequent long ago goes in the end
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """Slots of the words, all encoded."""
         if len(self.slots) > self.most or len(self.ids) > self.most_ids:
-            self.clear()
+            self.shrink()
         slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        uses = np.bincount(slots, minlength=len(self.slots))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         if new := self.slots.new:
             for at in range(0, len(new), 20_000):
-                for ids in self.encode_new(new[at : at + 20_000]):
-                    self.starts.append(len(self.ids))
-                    self.counts.append(len(ids))
-                    self.ids.extend(ids)
+                counts, ids = self.encode_new(new[at : at + 20_000])
+                self.starts.frombytes((len(self.ids) + np.cumsum(counts) - counts).astype(np.int64).tobytes())
+                self.counts.frombytes(counts.astype(np.int64).tobytes())
+                self.ids.frombytes(ids.astype(np.uint32).tobytes())
             self.slots.new = []
         return slots
 
@@ -127,6 +141,18 @@ def chunks(texts: list[str], most_chars: int = 2_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def text_parts(column, most_bytes: int = 1_000_000) -> Iterator[tuple[slice, list[str]]]:
+    """An Arrow column of texts by slices of about so many bytes, at least one text each: no more are Python objects at once."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(column):
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most_bytes, "right")))
+        yield slice(start, end), column.slice(start, end - start).to_pylist()
+        start = end
+
+
 class LibraryTokenizer:
     """A tokenizer file of the tokenizers library: safe texts by pieces through a memo, others whole through the library."""
 
@@ -144,12 +170,15 @@ class LibraryTokenizer:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.memo = Memo(self._new)
 
-    def _new(self, pieces: list[str]) -> Iterator[list[int]]:
+    def _new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids by the library's model, from the pre-tokens in its byte alphabet."""
         find, model = (WORDS_SAFE if self.kind == "word" else BYTE_LEVEL_SAFE).findall, self.tokenizer.model.tokenize
+        ids, ends = array("I"), [0]
         for piece in pieces:
-            words = find(piece if self.kind == "word" else whole_piece(piece))
-            yield [t.id for w in words for t in model(w.encode().decode("latin-1").translate(ALPHABET))]
+            for w in find(piece if self.kind == "word" else whole_piece(piece)):
+                ids.extend([t.id for t in model(w.encode().decode("latin-1").translate(ALPHABET))])
+            ends.append(len(ids))
+        return np.diff(ends), np.frombuffer(ids, np.uint32)
 
     def pieces(self, text: str) -> list[str] | None:
         if not safe(text) or self.special and "<|" in text and self.special.search(text):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbraframe.llm.common import ready, table, whole_text
-from umbraframe.llm.pretok import chunks
+from umbraframe.llm.pretok import text_parts
 
 # Fixed values of the TIFF 6.0 format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -319,8 +319,8 @@ def write_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(texts := batch.column(1).to_pylist()):
-                contents = [t.encode() for t in texts[part]]
+            for part, texts in text_parts(batch.column(1), 2_000_000):
+                contents = [t.encode() for t in texts]
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(map(len, contents), pa.int64()), pa.array([payload_to_tiff(padded(c)) for c in contents], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()

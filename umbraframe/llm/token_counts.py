@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe_transducer import tokenizer_path
 from umbraframe.llm.common import new_path, ready, table, whole_text, written
-from umbraframe.llm.pretok import library_tokenizer
+from umbraframe.llm.pretok import library_tokenizer, text_parts
 
 LIMIT = 512
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -64,8 +64,8 @@ def count_tokens(docs: DataFrame, cache_dir: str, path: str, kind: str = "byte",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = library_tokenizer(path, kind)
         for batch in batches:
-            counts = tokenizer.counts(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["content", "n_tokens"])
+            for part, texts in text_parts(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(tokenizer.counts(texts), pa.int64())], ["content", "n_tokens"])
 
     counted = distinct_misses(keyed, slim, stored).transform(ready).mapInArrow(run, "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_dir)

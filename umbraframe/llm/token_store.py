@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from umbraframe.llm.bpe_transducer import tokenizer_path
 from umbraframe.llm.common import new_path, ready, table, whole_text
-from umbraframe.llm.pretok import library_tokenizer
+from umbraframe.llm.pretok import library_tokenizer, text_parts
 
 MAGIC = b"UZT2"
 HEAD = 48
@@ -146,11 +146,12 @@ def write_store(docs: DataFrame, out_dir: str, path: str, kind: str = "word", en
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, frames = library_tokenizer(path, kind), Frames(shared.value)
         for batch in batches:
-            ids = tokenizer.encode(batch.column(1).to_pylist())
-            if end_id is not None:
-                ids = [np.append(i, np.uint32(end_id)) for i in ids]
-            coded = pa.array([frames.compress(i, width) for i in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, ids), pa.int64()), coded], ["doc_id", "n_tokens", "frame"])
+            for part, texts in text_parts(batch.column(1)):
+                ids = tokenizer.encode(texts)
+                if end_id is not None:
+                    ids = [np.append(i, np.uint32(end_id)) for i in ids]
+                coded = pa.array([frames.compress(i, width) for i in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], pa.array(map(len, ids), pa.int64()), coded], ["doc_id", "n_tokens", "frame"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, held, size, number, start = hashlib.sha256(shared.value).digest(), [], 0, 0, 0
