@@ -304,6 +304,40 @@ def test_bpe(docs, rows):
     assert bpe_transducer.encode_documents(docs.limit(0), path).count() == 0
 
 
+def test_merges_against_the_library():
+    """Random and repetitive words, alone and together, merge as the library's model does."""
+    from tokenizers import Tokenizer
+
+    path, rng = bpe_transducer.tokenizer_path(), random.Random(6)
+    model, merges = Tokenizer.from_file(path).model, bpe_transducer.Merges(path)
+    words = ["".join(rng.choice("abeinrst éüß0") for _ in range(rng.randrange(1, 30))) for _ in range(800)] + ["a", "aa", "aaa", "a" * 999, "ab" * 500, "the" * 300, "é" * 77]
+    letters = {b: chr(c) for b, c in bpe_transducer.ALPHABET.items()}
+    want = [[t.id for t in model.tokenize("".join(letters[b] for b in w.encode()))] for w in words]
+    assert [x.tolist() for x in merges.encode([w.encode() for w in words])] == want
+    assert [merges.encode([w.encode()])[0].tolist() for w in words[-9:]] == want[-9:] and merges.encode([]) == []
+
+
+def test_memo_keeps_what_is_used_again():
+    """However often it shrinks, ids are those of each word, and it stays within its bounds."""
+    from umbraframe.llm.pretok import Memo, text_parts
+    import pyarrow as pa
+
+    rng, asked = random.Random(4), []
+    ids = lambda w: [len(w), *map(ord, w)]
+    memo = Memo(lambda ws: (asked.extend(ws), (np.array([len(ids(w)) for w in ws]), np.array([i for w in ws for i in ids(w)])))[1], most=60, most_ids=300)
+    common = ["the", "of", "and"]
+    for _ in range(200):
+        lists = [[rng.choice(common) if rng.random() < 0.5 else f"x{rng.randrange(5000)}" for _ in range(rng.randrange(9))] for _ in range(4)]
+        assert [x.tolist() for x in memo.encode(lists)] == [[i for w in x for i in ids(w)] for x in lists]
+        assert memo.count(lists) == [sum(len(ids(w)) for w in x) for x in lists]
+        assert len(memo.slots) < 60 + 40 and len(memo.ids) < 300 + 300
+    assert all(asked.count(w) < 5 for w in common)
+    texts = ["é" * n for n in (0, 3, 500, 1, 1, 900, 0)]
+    for size in (1, 100, 10_000):
+        found = list(text_parts(pa.array(texts), size))
+        assert [t for _, x in found for t in x] == texts and [i for p, _ in found for i in range(7)[p]] == list(range(7))
+
+
 def test_lexicon_is_minimal_and_exact():
     words = {w.encode(): [i, i + 1] for i, w in enumerate(["tap", "taps", "top", "tops", "stop", "stops"])}
     lexicon = bpe_transducer.Lexicon(bpe_transducer.compile_lexicon(words))
