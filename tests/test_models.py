@@ -208,6 +208,71 @@ def test_texts_over_the_model_s_limits_are_dropped():
     assert detect("abcd " * 12, run, encode) == []  # in several windows
 
 
+def varint(n):
+    out = bytearray()
+    while True:
+        out.append(n & 127 | (128 if n > 127 else 0))
+        n >>= 7
+        if not n:
+            return bytes(out)
+
+
+def field(number, value):
+    """One field of a protocol buffer: an integer, or bytes (text, a message)."""
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def tiny_model():
+    """An ONNX file whose logits are 5 for spans of one word and -5 or less for others: 5 - 10 (end - start), as (1, words, 12, 1)."""
+    node = lambda op, into, out, *attributes: field(1, b"".join(field(1, x) for x in into) + field(2, out) + field(4, op) + b"".join(field(5, x) for x in attributes))
+    number = lambda name, i: field(1, name) + field(3, i) + field(20, 2)
+    tensor = lambda name, kind, dims, array: field(5, b"".join(field(1, d) for d in dims) + field(2, kind) + field(8, name) + field(9, array.tobytes()))
+    value = lambda name, kind, rank: field(1, name) + field(2, field(1, field(1, kind) + field(2, b"".join(field(1, field(2, f"{name}{i}")) for i in range(rank)))))
+    nodes = [
+        node("Gather", ["span_idx", "zero"], "starts", number("axis", 2)), node("Gather", ["span_idx", "one"], "ends", number("axis", 2)),
+        node("Sub", ["starts", "ends"], "shorter"), node("Cast", ["shorter"], "width", number("to", 1)), node("Mul", ["width", "ten"], "scaled"),
+        node("Add", ["scaled", "five"], "flat"), node("Reshape", ["flat", "shape"], "logits"),
+    ]
+    held = [tensor("zero", 7, [], np.array(0)), tensor("one", 7, [], np.array(1)), tensor("ten", 1, [], np.array(10, "f4")), tensor("five", 1, [], np.array(5, "f4")), tensor("shape", 7, [4], np.array([1, -1, 12, 1]))]
+    ranks = {"input_ids": 2, "attention_mask": 2, "words_mask": 2, "text_lengths": 2, "span_idx": 3, "span_mask_int64": 2}
+    graph = b"".join(nodes) + field(2, "g") + b"".join(held) + b"".join(field(11, value(k, 7, r)) for k, r in ranks.items()) + field(12, value("logits", 1, 4))
+    return field(1, 8) + field(7, graph) + field(8, field(1, "") + field(2, 13))
+
+
+def test_a_model_file_from_pin_to_masked_text(tmp_path, spark):
+    """A real session and tokenizer: installed from a pin, checked at load, run in Python workers, and by the command line."""
+    from public_tokenizers import path as public
+    from umbraframe import cli
+    from umbraframe.operators import masking
+
+    files = {"model.onnx": tiny_model(), "tokenizer.json": open(public("byte_bpe_50k.json"), "rb").read(), "tokenizer_config.json": b"{}"}
+    archive = tmp_path / "m.tar.gz"
+    with tarfile.open(archive, "w:gz") as t:
+        for name, content in files.items():
+            info = tarfile.TarInfo(name)
+            info.size = len(content)
+            t.addfile(info, io.BytesIO(content))
+    sha = {k: hashlib.sha256(v).hexdigest() for k, v in files.items()}
+    pin = ModelPin("v1", archive.as_uri(), hashlib.sha256(archive.read_bytes()).hexdigest(), sha["model.onnx"], archive.stat().st_size, file_sha256=sha)
+    store = ModelStore(str(tmp_path / "s"))
+    assert Installer(store, pin).ensure() == "installed"
+    detector = OnnxDetector(store.resolved(), "v1", labels=("address",), pin=pin, timeout=60.0)
+    rows = [(1, ["red (blue)", "👍 green"]), (2, ["x " * 1500]), (3, [""])]
+    got = {r.id: r for r in masking.mask_fields(spark.createDataFrame(rows, "id int, fields array<string>"), detector=detector).collect()}
+    assert got[1].masked_fields == ["[ADDRESS_1] ([ADDRESS_2])", "👍 [ADDRESS_3]"] and got[1].restore == {"[ADDRESS_1]": "red", "[ADDRESS_2]": "blue", "[ADDRESS_3]": "green"}
+    assert got[2].status == "send" and got[2].masked_fields[0].endswith("[ADDRESS_1499] [ADDRESS_1500] ") and got[3].masked_fields == [""]
+    late = OnnxDetector(store.resolved(), "v1", labels=("address",), pin=pin, timeout=1e-9)
+    assert [r.status for r in masking.mask_fields(spark.createDataFrame(rows, "id int, fields array<string>"), detector=late).orderBy("id").collect()] == ["drop_timed_out"] * 3
+    assert masking.probe_run(spark, detector, "red at 10.1.1.1", ("red", "10.1.1.1", "none")) == (True, 2)
+    manifest = {"version": "v1", "sourceURL": pin.url, "archiveSHA256": pin.archive_sha256, "weightsSHA256": sha["model.onnx"], "bytes": 9, "maxWidth": 12, "maxSequenceLength": 768, "files": {"tokenizerSHA256": sha["tokenizer.json"]}}
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    # This model knows one label where the command line asks for 17: the text is dropped, not guessed at.
+    assert cli.main(["-", str(tmp_path / "out"), "--model", store.resolved(), "--manifest", str(tmp_path / "m.json")], spark, io.StringIO("no secret")) == 2
+
+
 def test_inputs_and_decoding():
     x = build_inputs([[7, 8], [9]], [[3, 4], [5]], 3)
     assert x["input_ids"].tolist() == [[CLS, ENTITY, 7, 8, ENTITY, 9, ENTITY_END, 3, 4, 5, SEP]]
