@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,8 @@ EMOJI = f"^(?:{_java(EMOJI_RANGES)}{_java(JOINER_RANGES)}*)+$"
 EMOJI_PYTHON = re.compile(f"(?:{_python(EMOJI_RANGES)}{_python(JOINER_RANGES)}*)+")
 NEUTRAL = "-"
 MAX_WIDTH = 12
+#: Bytes of text, or logits, that a worker takes at once from a batch, as its arrays take many times that.
+AT_ONCE = 1 << 20
 
 WORD_TYPE = "array<struct<text:string,start:int,end:int>>"
 # The code points with Unicode's White_Space property.
@@ -61,6 +64,13 @@ def found_words(texts: list[str | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(per_text.astype(np.int32)), each)
 
 
+def runs(sizes: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Half-open runs of neighbouring rows of about `most` in all; a larger row ends its run. Null counts as none."""
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), len(sizes)]
+    return ((a, b) for a, b in zip(edges, edges[1:], strict=False) if a < b)
+
+
 def words_with_offsets(text: Column) -> Column:
     """Words with their places, in time linear in the text; none for null."""
 
@@ -69,7 +79,8 @@ def words_with_offsets(text: Column) -> Column:
     @F.arrow_udf(WORD_TYPE)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield found_words(texts.to_pylist())
+            for a, b in runs(pc.binary_length(texts)):
+                yield found_words(texts.slice(a, b - a).to_pylist())
 
     return found(text)
 

@@ -104,6 +104,26 @@ def decode_logits(scores: DataFrame, words: DataFrame, labels: tuple[str, ...],
     return kept.join(a, ["id", "a"]).join(b, ["id", "b"]).filter("_upto > _before").select("id", "start", "end", F.element_at(label_of, F.col("label_index") + 1).alias("label"), "score", "window", "start_word", "width", "label_index")
 
 
+def decode_rows(windows: DataFrame, labels: tuple[str, ...], threshold: float = THRESHOLD, max_width: int = MAX_WIDTH) -> DataFrame:
+    """(id, start, end, label, score, start_word, width, label_index): :func:`decode_logits` of windows that are a row each, with no shuffle.
+
+    windows: id, logits (array by start word x width x label), and arrays of their words' starts, ends and is_emoji.
+    """
+    # Outer: an inner explode would have its input's size tested first, by expressions evaluated anew.
+    cells = (
+        windows.select("id", "starts", "ends", "is_emoji", F.posexplode_outer("logits").alias("i", "logit"))
+        .withColumn("score", sigmoid32(F.col("logit")))
+        .withColumn("start_word", F.expr(f"CAST(i DIV {len(labels) * max_width} AS INT)"))
+        .withColumn("width", F.expr(f"CAST(i DIV {len(labels)} % {max_width} AS INT)"))
+    )
+    end_word = F.col("start_word") + F.col("width")
+    # Coalesced, as a test that needs its column would have that tested for null first, anew too.
+    has_word = F.coalesce(F.array_contains(F.slice("is_emoji", F.col("start_word") + 1, F.col("width") + 1), False), F.lit(False))
+    kept = cells.filter((F.col("score") > F.lit(threshold).cast("float")) & (end_word < F.size("ends"))).filter(has_word)
+    kept = kept.withColumn("label_index", F.col("i") % len(labels)).withColumn("label", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("label_index") + 1))
+    return kept.select("id", F.col("starts")[F.col("start_word")].alias("start"), F.col("ends")[end_word].alias("end"), "label", "score", "start_word", "width", "label_index")
+
+
 @dataclass(frozen=True)
 class LogitsDetector:
     """From a column of logits ((start word x width x label) of one window a row) and one of words with offsets."""

@@ -251,10 +251,14 @@ def logits_decode(spark, sf_dir):
     return x.select(F.col("id").alias("doc_id"), "window", "start", "end", "label", "width", "label_index")
 
 
+def emoji_word(word, pos):
+    """The word at a place, of which two in each seven are taken by emoji (the last of EMOJI only looks like one)."""
+    return F.when(pos % 7 < 2, F.element_at(F.array(*[F.lit(e) for e in EMOJI]), (F.floor(pos / 7) % len(EMOJI) + 1).cast("int"))).otherwise(word)
+
+
 def emoji_words(spark, sf_dir) -> DataFrame:
-    """doc_id, pos, word, start, end of all words, of which two in each seven are taken by emoji (the last of EMOJI only looks like one)."""
-    w = words_with_offsets(spark, sf_dir)
-    return w.withColumn("word", F.when(F.col("pos") % 7 < 2, F.element_at(F.array(*[F.lit(e) for e in EMOJI]), (F.floor(F.col("pos") / 7) % len(EMOJI) + 1).cast("int"))).otherwise(F.col("word")))
+    """doc_id, pos, word, start, end of all words, some of them taken by emoji."""
+    return words_with_offsets(spark, sf_dir).withColumn("word", emoji_word(F.col("word"), F.col("pos")))
 
 
 def neutral_words(spark, sf_dir):
@@ -263,10 +267,11 @@ def neutral_words(spark, sf_dir):
 
 def emoji_spans(spark, sf_dir):
     """Spans of one to three words from every word, summed by document and width; those of emoji only are dropped."""
-    w = emoji_words(spark, sf_dir).select(F.col("doc_id").alias("id"), "pos", "start", "end", words.is_emoji(F.col("word")).alias("is_emoji"))
-    n = w.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("n_words"))
-    cells = w.select("id", F.col("pos").alias("start_word")).join(n, "id").select("id", F.lit(0).alias("window"), F.lit(0).alias("first_word"), "n_words", "start_word", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("width"), F.lit(0).alias("label_index"), F.lit(2.0).alias("logit"))
-    kept = detect.decode_logits(cells, w, S.LABELS, 0.3).groupBy(F.col("id").alias("doc_id"), "width")
+    w = docs(spark, sf_dir).filter("doc_id IS NOT NULL").select("doc_id", words.words_with_offsets(F.col("text")).alias("w"))
+    logits = F.array_repeat(F.lit(2.0), F.size("w") * 3)  # of each word at three widths, for the first label
+    emoji = F.transform("w.text", lambda t, i: words.is_emoji(emoji_word(t, i)))
+    windows = w.select(F.col("doc_id").alias("id"), F.col("w.start").alias("starts"), F.col("w.end").alias("ends"), emoji.alias("is_emoji"), logits.alias("logits"))
+    kept = detect.decode_rows(windows, S.LABELS[:1], 0.3, 3).groupBy(F.col("id").alias("doc_id"), "width")
     return kept.agg(F.count(F.lit(1)).alias("n_spans"), F.sum("start").alias("sum_start"), F.sum("end").alias("sum_end"))
 
 
