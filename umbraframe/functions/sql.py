@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 from umbraframe.functions.names import FULL, TOKEN, name_pattern
 from umbraframe.functions.spans import LABELS, scrub_pattern
-from umbraframe.operators.detect import RULES
+from umbraframe.operators.detect import FASTER, RULES
 
 
 @lru_cache(256)
@@ -32,14 +32,16 @@ def mask_name(text: pd.Series, first: pd.Series, last: pd.Series, scope: pd.Seri
 
 
 class DetectPii:
-    """(start, end, label, score) of each span that the rules find; their score is 1."""
+    """(start, end, label, score) of each span that the rules find, as RuleDetector does; their score is 1."""
 
     def eval(self, text: str):
         import regex
 
         for label, pattern in RULES.items():
-            for m in regex.finditer(pattern, text or ""):
-                yield m.start(), m.end(), label, 1.0
+            faster, held = FASTER.get(pattern, (pattern, ""))
+            if text and held in text:
+                for m in regex.finditer(faster, text):
+                    yield m.start(), m.end(), label, 1.0
 
 
 def register(spark: SparkSession) -> None:
