@@ -1,5 +1,6 @@
 """The pipeline against a brute-force version, and whole long texts through the pattern operators."""
 
+import gc
 import hashlib
 import os
 import random
@@ -12,6 +13,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 from umbraframe.llm import bpe_transducer, mixing, pii_disclosure, quality_pu, secrets
+from umbraframe.llm.common import written
 
 RNG = random.Random(11)
 WORDS = ["".join(RNG.choice("abcdefghijklm") for _ in range(RNG.randint(2, 8))) for _ in range(900)]
@@ -107,3 +109,15 @@ def test_patterns_on_very_long_texts(spark):
 
 def test_features_depend_on_the_text_only():
     assert np.array_equal(quality_pu.features(None), quality_pu.features(""))
+
+
+def test_the_driver_gives_back_its_garbage(spark):
+    """What finished jobs have left in the driver's heap goes back to the system when the next table has been written."""
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    bound = runtime.maxMemory()
+    held = [spark._jvm.java.nio.ByteBuffer.allocate(bound // 16) for _ in range(10)]
+    assert runtime.totalMemory() > bound // 2
+    del held
+    gc.collect()
+    assert written(spark.range(3), "lean").count() == 3
+    assert runtime.totalMemory() <= bound // 2

@@ -50,6 +50,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _OPEN.pop():
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        release_memory()
+        release_heap(spark)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -65,6 +67,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    release_heap(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -139,6 +142,23 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What the last collection of :func:`release_heap` left committed.
+_LEFT = [0]
+
+
+def release_heap(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage once its heap holds more than half of its bound.
+
+    Plans, task metrics and broadcasts of finished jobs are garbage that the JVM lets grow to the bound; a full collection
+    gives that memory back to the system and lets Spark delete the shuffle files of tables that are gone. Where live objects hold
+    the heap up, it is not collected again before it grows by a quarter.
+    """
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > max(runtime.maxMemory() // 2, _LEFT[0] * 5 // 4):
+        spark._jvm.System.gc()
+        _LEFT[0] = runtime.totalMemory()
+
+
 def ready(df: DataFrame) -> DataFrame:
     """``df``, once the Python workers can import this package."""
     ship(df.sparkSession)

@@ -248,7 +248,10 @@ def digests_and_frequencies(slim: DataFrame) -> tuple[DataFrame, np.ndarray, int
     sums = {r.segment: np.frombuffer(bytes(r.counts), np.int64) for r in once.groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()}
     n = int(sums[-1][0]) if sums else 0
     df = np.concatenate([sums[i] for i in range(SEGMENTS)]).reshape(2, BUCKETS) if sums else np.zeros((2, BUCKETS), np.int64)
-    return both.filter("segment IS NULL").select("doc_id", "mark", "digest"), idf_table(df, n), n
+    idf = idf_table(df, n)
+    del sums, df
+    release_memory()
+    return both.filter("segment IS NULL").select("doc_id", "mark", "digest"), idf, n
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
