@@ -107,6 +107,25 @@ def test_only_distinct_misses_are_encoded(spark, tmp_path):
     assert token_counts.count_tokens(table, cache, path).count() == 59 and spark.read.parquet(cache).count() == 6
 
 
+def test_counts_are_joined_to_rows_without_copies(spark):
+    """Only a content that holds many of the rows goes to the join under several salts: the others are shuffled once a side."""
+    table = [(i, f"cold {i}".encode(), 6) for i in range(3_000)] + [(i, b"hot", 3) for i in range(600)]
+    slim = near_dedup.written(spark.createDataFrame(table, "doc_id long, content binary, n_bytes long"), "joined-rows")
+    known = near_dedup.written(slim.select("content", "n_bytes").distinct().withColumnRenamed("n_bytes", "n_tokens"), "joined-counts")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    before = {s.stageId() for s in map(stages().apply, range(stages().size()))}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = token_counts.spread_join(slim, known).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((r.doc_id, r.content, r.n_bytes, r.n_tokens) for r in got) == sorted((i, c, n, n) for i, c, n in table)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    held = stages()
+    shuffled = sum(s.shuffleWriteRecords() for s in map(held.apply, range(held.size())) if s.stageId() not in before)
+    assert shuffled < 4 * len(table)  # rows, counts, and one sum by content; 16 times the counts before
+
+
 def test_store_of_signed_repeated_and_null_ids(spark, tmp_path):
     """Documents are found by id; long unbroken words, one row repeated very often and ids of any sign come back whole."""
     from tokenizers import Tokenizer

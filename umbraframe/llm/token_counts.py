@@ -20,6 +20,8 @@ from umbraframe.llm.common import new_path, ready, table, whole_text, written
 from umbraframe.llm.pretok import library_tokenizer, text_parts
 
 LIMIT = 512
+#: Contents of more than this part of the rows are joined under salts.
+HOT = 1_024
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
 
 
@@ -75,9 +77,14 @@ def count_tokens(docs: DataFrame, cache_dir: str, path: str, kind: str = "byte",
 
 
 def spread_join(slim: DataFrame, known: DataFrame, salts: int = 16) -> DataFrame:
-    """Rows with their content's count. One content may hold a third of the rows, so both sides are salted."""
-    left = slim.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    right = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    """Rows with their content's count. One content may hold a third of the rows: contents of more than 1/``HOT`` of the rows, fewer
+    than ``HOT`` contents at any size, are salted on both sides; all others go to the join once."""
+    hot = slim.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * HOT > slim.count())
+    hot = F.broadcast(written(hot.select(F.col("content").alias("_hot")), "count-hot"))
+    marked = lambda some: some.join(hot, F.col("content") == F.col("_hot"), "left")
+    last = F.when(F.col("_hot").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0))
+    left = marked(slim).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), last + 1).cast("int")).drop("_hot")
+    right = marked(known).withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
     return left.join(right, ["content", "_salt"]).drop("_salt")
 
 
